@@ -2,9 +2,9 @@
 
 Bigram counts of the training texts are quantised on a logarithmic scale; a bigram of level q is put
 in the filter as (bigram, 1) to (bigram, q). Workers hold the filter and read a count back by probing
-levels until one is missing. The probability of a word is Dirichlet-smoothed:
-(count(previous, word) + MU * base(word)) / (count(previous) + MU), where base is the add-one unigram
-probability from exact counts.
+levels until one is missing. The probability of a word is interpolated: with c the count of the word
+before it and share = min(SHARE, c / (c + MU)), it is share * count(both) / c + (1 - share) * base(word),
+where base is the add-one unigram probability from exact counts.
 
 Words travel as 64-bit hashes. Texts are cut into blocks; a block holds its distinct words and its
 texts as indices into them, so a word's count is shuffled once for each block, not for each use. The
@@ -26,7 +26,7 @@ from .wordvec import BLANK_SPLIT, mix, split_batches, word_hashes
 
 BLOCK_TOKENS = 2_000_000
 END, START = np.uint64(1), np.uint64(2)
-MU = 40.0
+MU, SHARE = 5.0, 0.4
 BASE = 1.5
 PROBES = 3
 BITS_EACH = 6
@@ -253,7 +253,7 @@ def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, most: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     held_out: a boolean column; the model learns from the other rows. Null and empty texts have the end
@@ -325,7 +325,8 @@ def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, id_col: s
                     begin = first[(first >= at) & (first < at + len(part))] - at
                     left[begin], before[begin] = START, starts
                     both = np.minimum(model.counts(pair_hashes(left, right)), np.minimum(before, count[cut]))
-                    score[cut] = np.log10((both + mu * 10 ** base[cut]) / (before + mu))
+                    share = np.minimum(most, before / (before + mu))
+                    score[cut] = np.log10(share * both / np.maximum(before, 1) + (1 - share) * 10 ** base[cut])
                 out = [
                     pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()),
                     pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,9 @@ def patterns(text: str) -> set[str]:
     return out
 
 
+_NONE = (0.0, "")
+
+
 class Matcher:
     def __init__(self, lexicon: dict[str, float], exceptions=EXCEPTIONS):
         import ahocorasick
@@ -89,20 +93,22 @@ class Matcher:
             self.machine.make_automaton()
 
     def measure(self, text: str) -> tuple[float, int, float, int]:
-        """Sum of weights, number of matches, largest weight and number of words of a folded text."""
-        best: dict[int, float] = {}
+        """Sum of weights, number of distinct patterns, largest weight and number of words of a folded text."""
+        best: dict[int, tuple[float, str]] = {}
         masked: list[tuple[int, int]] = []
         if self.any:
             for end, (n, w) in self.machine.iter(text):
                 start = end - n + 1
                 if w is None:
                     masked.append((start, end))
-                elif w > best.get(start, 0.0):
-                    best[start] = w
+                elif w > best.get(start, _NONE)[0]:
+                    best[start] = w, text[start : end + 1]
         for a, b in masked:
             for s in [s for s in best if a <= s <= b - 1]:
                 del best[s]
-        return sum(best.values()), len(best), max(best.values(), default=0.0), len(text.split())
+        often = Counter(best.values())  # a pattern counts twice at most: repetition alone is not abuse
+        total = sum(w * min(n, 2) for (w, _), n in often.items())
+        return total, len(often), max((w for w, _ in often), default=0.0), len(text.split())
 
 
 def _features(measured: list[tuple[float, int, float, int]]) -> np.ndarray:
@@ -117,8 +123,6 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
 
     def per_class(wanted):
         def run(batches):
-            from collections import Counter
-
             seen: Counter = Counter()
             texts = 0
             for b in split_batches(batches, 0):
