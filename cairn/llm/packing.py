@@ -125,7 +125,7 @@ def pieces_of(
         enc, end = encoder(vocabulary), struct.pack("<I", end_id)
         for b in split_batches(batches, 1):
             out = []
-            for d, x in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
+            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 x += end
                 for k, at in enumerate(range(0, len(x), 4 * length)):
                     part = x[at : at + 4 * length]

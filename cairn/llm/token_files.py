@@ -163,8 +163,7 @@ def write_token_files(
             )
 
         for b in split_batches(batches, 1):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for d, x in zip(b.column(0).to_pylist(), enc.encode(texts)):
+            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 ids.append(d)
                 coded.append(x + end)
                 held += len(x) // 4 + 1

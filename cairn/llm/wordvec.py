@@ -54,6 +54,24 @@ def split_batches(batches, column: int, limit: int = BLOCK) -> Iterator[pa.Recor
                 yield b.slice(i, j - i)
 
 
+def piece_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte runs that begin at ``starts``; bytes where ``counts`` is false are left out."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = np.diff(np.append(starts, len(data)))
+    run = np.arange(len(data), dtype=np.int64)
+    run[starts[0] :] -= np.repeat(starts, size)
+    power = np.full(int(run[starts[0] :].max()) + 1, _STEP, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    run[: starts[0]] = 0
+    value = _BYTE[data]
+    value *= power[run]
+    if counts is not None:
+        value[~counts] = 0
+    return mix(np.add.reduceat(value, starts))
+
+
 def word_hashes(texts: pa.Array, is_word: np.ndarray = BLANK_SPLIT) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts, in order, and each text's first word, with the end."""
     data, off = text_bytes(texts)
@@ -79,18 +97,7 @@ def word_hashes(texts: pa.Array, is_word: np.ndarray = BLANK_SPLIT) -> tuple[np.
         start[1:] &= ~word[:-1] | first[at + 1 : end]
         starts = np.flatnonzero(start)
         if len(starts):
-            run = np.arange(len(seg), dtype=np.int64)
-            run -= np.repeat(starts, np.diff(np.append(starts, len(seg)))) if starts[0] == 0 else np.concatenate(
-                [np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(seg))))]
-            )
-            longest = int(run.max()) + 1
-            power = np.full(longest, _STEP, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            value = _BYTE[seg]
-            value *= power[run]
-            value[~word] = 0
-            hashes.append(mix(np.add.reduceat(value, starts)))
+            hashes.append(piece_hashes(seg, starts, word))
             begins.append(starts + at)
         at = end
     if not hashes:
