@@ -182,7 +182,7 @@ def read_token_files(files: DataFrame, root: str) -> DataFrame:
 
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("part", "seq", "path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    placed = placed.repartitionByRange("part", "seq")
+    placed = placed.repartitionByRange(max(1, min(files.count(), 4096)), "part", "seq")
 
     def read(batches):
         store, _ = _filesystem(root)
