@@ -138,7 +138,7 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.table(components(first, scratch, "balls"), "first")
 
     labelled = fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = labelled.select("fp", F.coalesce("root", "fp").alias("comp"))
+    labelled = scratch.table(labelled.select("fp", F.coalesce("root", "fp").alias("comp")), "labelled")
     homes = labelled.mapInArrow(_keys(True), "key long, fp long, comp long")
     probes = labelled.mapInArrow(_keys(False), "key long, fp long, comp long")
     links = _pairs(homes.join(dense, "key", "left_anti"), probes.join(dense, "key", "left_anti"), ["key"])
