@@ -24,13 +24,13 @@ from .folds import fold
 from .scratch import Scratch
 from .wordvec import BLANK_SPLIT, mix, split_batches, word_hashes
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 END, START = np.uint64(1), np.uint64(2)
 MU, SHARE = 5.0, 0.4
 BASE = 1.5
 PROBES = 3
 BITS_EACH = 6
-MAX_BITS = 64 << 23
+MAX_BITS = 96 << 23
 _LEVEL = np.uint64(0xA0761D6478BD642F)
 _NEXT = np.uint64(0xE7037ED1A0B428DB)
 
@@ -306,14 +306,15 @@ def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, most: flo
             for k in range(b.num_rows):
                 ids, held, sizes, words, n_stream, stream, parts = (b.column(c)[k].as_py() for c in range(7))
                 words, sizes = np.frombuffer(words, "<u8"), np.array(sizes)
-                total = np.concatenate([_unz(*([p[x] for x in ("totals", "n")]), "<i8") for p in parts])
+                total = np.concatenate([_unz(p["totals"], p["n"], "<i8") for p in parts])
                 stream = _unz(stream, n_stream, "<u4")
+                del parts
                 first = np.cumsum(sizes) - sizes
                 count = total[stream]
                 base = np.log10(count + 1.0) - level
                 score = np.empty(len(stream))
-                for at in range(0, len(stream), 500_000):
-                    cut = slice(at, at + 500_000)
+                for at in range(0, len(stream), 200_000):
+                    cut = slice(at, at + 200_000)
                     part = stream[cut]
                     right = words[part]
                     left = np.empty_like(right)
