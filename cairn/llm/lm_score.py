@@ -30,7 +30,7 @@ MU, SHARE = 5.0, 0.4
 BASE = 1.5
 PROBES = 3
 BITS_EACH = 6
-MAX_BITS = 96 << 23
+MAX_BITS = 72 << 23
 _LEVEL = np.uint64(0xA0761D6478BD642F)
 _NEXT = np.uint64(0xE7037ED1A0B428DB)
 
