@@ -29,9 +29,9 @@ _CLASS[[9, 10, 13]] = OTHER_SPACE
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 _CLASS[48:58] = DIGIT
 #: Pieces kept for each worker.
-KEPT = 1_000_000
+KEPT = 300_000
 #: Bytes handled at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def tokenizer_path(name: str) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a text larger than this is cut between words, never dropped.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +52,7 @@ def split_batches(batches, column: int, limit: int = BLOCK) -> Iterator[pa.Recor
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
+    pa.default_memory_pool().release_unused()  # workers are used again by other operators
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
