@@ -9,6 +9,7 @@ other text goes to the library whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from itertools import islice
 
@@ -34,6 +35,23 @@ KEPT = 300_000
 BLOCK = 2 << 20
 
 
+#: Longer texts are encoded in parts of about so many characters.
+LONG = 2 << 20
+_GAP = re.compile("[a-z] (?=[a-z])")
+
+
+def cut_long(text: str) -> list[str]:
+    """Parts that begin at a single space between lower-case letters, which always begins a piece."""
+    out, at = [], 0
+    while len(text) - at > LONG:
+        m = _GAP.search(text, at + LONG)
+        if not m:
+            break
+        out.append(text[at : m.start() + 1])
+        at = m.start() + 1
+    return [*out, text[at:]]
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a vocabulary file; the folder is the parameter CAIRN_TOKENIZERS or the installed package's."""
     folder = os.environ.get("CAIRN_TOKENIZERS")
@@ -127,6 +145,14 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text; a null is an empty text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        long = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 2 * LONG)
+        if len(long):  # cut where any pre-tokenizer parts words, so that memory does not follow the text
+            parts = [cut_long(t) if len(t) > LONG else [t] for t in texts.to_pylist()]
+            coded = iter([ids for t in parts for i in range(0, len(t), 8) for ids in self._encode(pa.array(t[i : i + 8], pa.large_string()))])
+            return [b"".join(next(coded) for _ in t) for t in parts]
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
         odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _DOUBLE))
         odd = odd.to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)

@@ -142,9 +142,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 
 def find_overlaps(
-    docs: DataFrame, benchmark: DataFrame, keep: list[str], id_col: str = "item_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], id_col: str = "item_id", text_col: str = "text", name: str = "overlaps"
 ) -> DataFrame:
-    """The columns ``keep`` of every row and its overlaps: (item_id, matched, item_words) of each item.
+    """The columns ``keep`` of every row and its overlaps, by this ``name``: (item_id, matched, item_words) of each item.
 
     Words are runs of letters and digits, case folded for A-Z. Null and empty texts have no overlaps,
     nor have null or wordless items; an empty benchmark gives empty lists. Each block of the benchmark
@@ -168,7 +168,7 @@ def find_overlaps(
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both, kind)], names=b.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__found").alias("overlaps"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__found").alias(name))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

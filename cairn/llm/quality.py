@@ -36,10 +36,13 @@ def features(texts: pa.Array) -> np.ndarray:
     """A row of N_FEATURES numbers for each text; zeros for an empty one."""
     data, off = text_bytes(texts)
     n = len(off) - 1
-    count = np.zeros((n, len(_CLASSES) + 1))
-    kind = _TABLE[data]
-    doc = np.repeat(np.arange(n), np.diff(off))
-    count = np.bincount(doc * 9 + kind, minlength=9 * n).reshape(n, 9).astype(float)
+    k = len(_CLASSES) + 1
+    count = np.zeros(n * k)
+    for a in range(0, len(data), 1 << 20):
+        b = min(a + (1 << 20), len(data))
+        doc = np.repeat(np.arange(n), np.clip(np.minimum(off[1:], b) - np.maximum(off[:-1], a), 0, None))
+        count += np.bincount(doc * k + _TABLE[data[a:b]], minlength=n * k)
+    count = count.reshape(n, k)
     size = np.maximum(1, np.diff(off)).astype(float)
     h, first = word_hashes(texts, BLANK_SPLIT)
     words = np.diff(first).astype(float)

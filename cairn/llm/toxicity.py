@@ -186,8 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return shared, fit_logistic(x, y, ridge=0.3)
 
 
-def score(docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Add score (0 to 1) and predicted (0 or 1) to the columns ``keep`` (default doc_id).
+def score(
+    docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """Add score (0 to 1) and predicted (0 or 1), by these ``names``, to the columns ``keep`` (default doc_id).
 
     Null and empty texts score as texts without matches. Every row is scored alone, so ties and repeated
     rows get equal scores.
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str]
     keep = keep or ["doc_id"]
     n = len(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("predicted", "integer")
+    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "double").add(names[1], "integer")
 
     def run(batches):
         match = Matcher(shared.value)
@@ -204,7 +206,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD, keep: list[str]
             m = [match.measure(folded(t)) for t in b.column(n).to_pylist()]
             s = 1 / (1 + np.exp(-np.clip(logits(_features(m), curve), -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"]
+                [*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *names]
             )
 
     return rows.mapInArrow(run, schema)
