@@ -21,6 +21,11 @@ def tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(x)), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(x: Column | str) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(_c(x)), F.lit(TOKEN))
+
+
 def graph_terms(x: Column | str) -> Column:
     """Distinct terms without underscores."""
     return F.array_distinct(F.regexp_extract_all(F.lower(_c(x)), F.lit(GRAPH_TERM), F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import ensure_checkpoint_dir
 
 
 def any_cell_contains(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFrame:
@@ -159,6 +160,7 @@ def frontier_add(seen: DataFrame, found: DataFrame, key: str, order: list[str],
 
 def crawl(seeds: DataFrame, links: DataFrame, depth: int, cap: int) -> DataFrame:
     """key, depth: breadth first from the seeds over links (key, target), each round one join; bounded by depth and cap."""
+    ensure_checkpoint_dir(seeds.sparkSession)
     seen = seeds.select("key", F.lit(0).alias("depth")).distinct().orderBy("key").limit(cap)
     edge = seen
     for d in range(1, depth + 1):

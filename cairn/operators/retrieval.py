@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,19 +26,21 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def index_stats(chunks: DataFrame, text_col: str) -> DataFrame:
     """One row: n chunks, average length in tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(TX.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n"), F.avg(TX.token_count(F.coalesce(F.col(text_col), F.lit("")))).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(chunks: DataFrame, query: str | Column, id_col: str, text_col: str, spark: SparkSession | None = None) -> DataFrame:
-    """item, score of chunks that hold a query term. Only postings of the query's terms are aggregated."""
-    spark = spark or chunks.sparkSession
+def bm25(chunks: DataFrame, query: str | Column, id_col: str, text_col: str) -> DataFrame:
+    """item, score of chunks that hold a query term. Other tokens are dropped before they become rows."""
     query = F.lit(query) if isinstance(query, str) else query
-    wanted = spark.range(1).select(F.explode(F.array_distinct(TX.tokens(query))).alias("term"))
-    post = postings(chunks, id_col, text_col).join(F.broadcast(wanted), "term")  # the terms of one query
+    wanted = F.array_distinct(TX.tokens(query))
+    held = chunks.where(F.exists(wanted, lambda t: F.contains(F.lower(F.col(text_col)), t)))
+    held = held.select(F.col(id_col).alias("item"), TX.token_count(text_col).cast("long").alias("doc_len"), TX.tokens(text_col).alias("tok"))
+    held = held.select("item", "doc_len", F.explode(F.filter("tok", lambda t: F.array_contains(wanted, t))).alias("term"))
+    post = held.groupBy("item", "term", "doc_len").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     stats = index_stats(chunks, text_col)  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import chunking, graph, memory, records, retrieval
+from ..operators import assist, chunking, graph, memory, records, retrieval
 from ..session import table
 from ..sources import readers
 from ..streaming import streams
@@ -379,3 +379,75 @@ def similar_memories(spark, sf):
     """Pairs of parts of one type whose names share half their terms."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("label"), F.lit("").alias("summary"), F.lit("active").alias("status"))
     return memory.similar(p, 0.5)
+
+
+_WIN = """w AS (SELECT conv_id, turn, length(text) AS n FROM conversations)"""
+
+
+@query(f"WITH {_WIN} SELECT conv_id, turn, n FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM w) WHERE t <= 600")
+def budget_prefix(spark, sf):
+    """Turns of each conversation until the next would overflow 600 characters."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return assist.budget_prefix(c, ["turn"], F.col("n"), 600, ["conv_id"])
+
+
+@query(f"""WITH {_WIN} SELECT conv_id, turn, row_number() OVER x <= 2 OR sum(n) OVER x <= 600 AS kept FROM w WINDOW x AS (PARTITION BY conv_id ORDER BY turn DESC)""")
+def compaction(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.length("text").cast("long").alias("n"))
+    return assist.compaction(c, 600, 2).select("conv_id", F.col("seq").alias("turn"), "kept")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS id, l_orderkey AS doc FROM lineitem)
+SELECT a.id AS a, b.id AS b, count(*) AS n_docs FROM e a JOIN e b ON a.doc = b.doc AND a.id < b.id GROUP BY ALL""")
+def topics_sharing_documents(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("doc"))
+    return assist.shared_documents(rows.distinct().groupBy("id").agg(F.collect_list("doc").alias("doc_ids")))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id % 40 AS src, event_id % 37 + 100 AS dst FROM events), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+SELECT src, dst, a.n + b.n AS degree FROM e JOIN d a ON a.id = src JOIN d b ON b.id = dst ORDER BY degree DESC, src, dst LIMIT 50""")
+def edges_by_degree(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 40).alias("src"), (F.col("event_id") % 37 + 100).alias("dst")).distinct()
+    return assist.edges_to_type(e, 50)
+
+
+@query("""WITH s AS (SELECT DISTINCT conv_id AS doc_id, turn AS window_idx FROM conversations), d AS (SELECT DISTINCT conv_id AS doc_id, turn AS window_idx FROM conversations WHERE role = 'user')
+SELECT doc_id, count(*) AS selected, count(d.window_idx) AS completed FROM s LEFT JOIN d USING (doc_id, window_idx) GROUP BY doc_id""")
+def window_coverage(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("window_idx"), "role")
+    return assist.coverage(c.drop("role"), c.where("role = 'user'").drop("role")).drop("pending")
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(p_name) AS x FROM part), k AS (SELECT p_partkey, CASE WHEN x = 'bolt' THEN 0 WHEN starts_with(x, 'bolt') THEN 1 WHEN contains(' ' || x, ' bolt') THEN 2 WHEN contains(x, 'bolt') THEN 3 END AS tier FROM t)
+SELECT p_partkey, tier::BIGINT AS tier FROM k WHERE tier IS NOT NULL ORDER BY tier, p_partkey LIMIT 20""")
+def mention_rank(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    return assist.mention_rank(p, "bolt", "p_name", "p_partkey").select("p_partkey", F.col("tier").cast("long").alias("tier"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT a.l_partkey AS k, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
+b AS (SELECT 1::BIGINT AS key, 0 AS depth UNION SELECT l.t, depth + 1 FROM b JOIN l ON l.k = b.key WHERE depth < 2)
+SELECT key, min(depth)::BIGINT AS depth FROM b GROUP BY key""")
+def bounded_crawl(spark, sf):
+    """Breadth first from part 1 over parts of one order, two links deep."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key"))
+    links = l.join(l.withColumnRenamed("key", "target"), "l_orderkey").where("key <> target").select("key", "target").distinct()
+    seeds = spark.range(1).select(F.lit(1).cast("long").alias("key"))
+    return records.crawl(seeds, links, 2, 1_000_000).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query()
+def topic_graph(spark, sf):
+    """Topics over documents whose vectors are alike (vec_id stands for doc_id)."""
+    near = graph.knn_blocked(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    pairs = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "cosine").distinct()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), "text")
+    topics, _ = assist.topic_graph(docs, pairs, ["the", "and"])
+    return topics.select("id", "size", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query()
+def window_information(spark, sf):
+    chunks = chunking.chunk_table(table(spark, sf, "documents"))
+    w = assist.window_information(chunks.withColumnRenamed("chunk_idx", "window_idx"), "text")
+    return assist.low_information(w.select("doc_id", "window_idx", F.round("information", 6).alias("information")))

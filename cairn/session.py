@@ -15,5 +15,13 @@ def get_session(master: str | None = None, name: str = "cairn", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The session's checkpoint folder; one of our own only where it is unset, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
