@@ -49,6 +49,14 @@ def test_chunks():
     assert chunking.evenly(10, 3) == [0, 5, 9] and chunking.evenly(2, 5) == [0, 1]
 
 
+def test_sentence_ids(spark):
+    docs = spark.createDataFrame([(1, "One  sentence. Über zwei! \U0001f600"), (2, None), (3, "")], "doc_id long, text string")
+    s = chunking.sentence_table(chunking.chunk_table(docs))
+    want = TX.sentence_id(F.col("doc_id"), F.col("chunk_idx"), F.col("sentence_idx"), F.col("text"))
+    got = s.withColumn("want", want).collect()
+    assert len(got) == 3 and all(r.sentence_id == r.want for r in got)
+
+
 def test_spans(spark):
     t = spark.createDataFrame(
         [(1, 0, "B-PER", 0, 3, 1.0), (1, 1, "I-PER", 4, 8, 0.5), (1, 2, "O", 9, 10, 0.0), (1, 3, "B-PER", 11, 12, 0.8), (1, 4, "B-LOC", 13, 14, 0.4)],
