@@ -228,3 +228,53 @@ def slash_command(x: Column) -> Column:
     """(command, rest) of a text that begins with one, else null."""
     p = r"(?s)^\s*/([A-Za-z][A-Za-z0-9_-]*)\s*(.*)$"
     return F.when(x.rlike(p), F.struct(F.lower(F.regexp_extract(x, p, 1)).alias("command"), F.regexp_extract(x, p, 2).alias("rest")))
+
+
+def repeated_lines(windows: DataFrame, col: str, longest: int = 80) -> DataFrame:
+    """Add ``repeats``: short lines of a window that an earlier window of its document has too. Needs doc_id, window_idx."""
+    lines = F.filter(F.transform(F.split(col, "\n"), lambda s: F.lower(F.trim(s))), lambda s: (s != "") & (F.length(s) <= longest))
+    e = windows.select("doc_id", "window_idx", F.explode(F.array_distinct(lines)).alias("line"))
+    first = e.withColumn("first", F.min("window_idx").over(W.partitionBy("doc_id", "line")))
+    n = first.where("window_idx > first").groupBy("doc_id", "window_idx").agg(F.count("*").alias("repeats"))
+    return windows.join(n, ["doc_id", "window_idx"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0).cast("long")))
+
+
+def render_edges(edges: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """One text for each group: a line for each edge, by its ends' labels."""
+    e = graph.edge_labels(edges, nodes).withColumn("line", F.format_string("%s -[%s]-> %s", "src_label", "relation", "dst_label"))
+    return e.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+
+
+def next_after_run(once: Column, planned: Column, now: Column) -> Column:
+    """(next, enabled): a one-off is done, and a planned time must lie ahead."""
+    ahead = ~once & planned.isNotNull() & (planned > now)
+    return F.struct(F.when(ahead, planned).alias("next"), ahead.alias("enabled"))
+
+
+def lesson_score(query: Column, triggers: Column, lesson: Column) -> Column:
+    """Two for each trigger in the query and one for each shared long term."""
+    hits = F.size(F.filter(triggers, lambda t: F.contains(F.lower(query), F.lower(t)) & (t != "")))
+    return 2 * hits + TX.overlap(TX.long_terms(query), TX.long_terms(lesson))
+
+
+def first_incompatibility(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The reason of the first (pattern, reason) that matches, else null."""
+    out = None
+    for pattern, reason in rules:
+        out = F.when(text.rlike(pattern), reason) if out is None else out.when(text.rlike(pattern), reason)
+    return out
+
+
+def one_of(x: Column, allowed: list[str], default: str) -> Column:
+    return F.when(x.isin(allowed), x).otherwise(F.lit(default))
+
+
+def map_label(x: Column, names: dict[str, str], default: str) -> Column:
+    """A label by its mapped name."""
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[x], F.lit(default)) if names else F.lit(default)
+
+
+def within_limits(started: Column, now: Column, minutes: Column, sources: Column, most: Column) -> Column:
+    """null within the limits, else which is reached first: time, then sources."""
+    spent = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 60_000_000
+    return F.when(spent >= minutes, "time").when(sources >= most, "sources")

@@ -70,3 +70,20 @@ def test_records(spark):
     assert (one.count(), rest.count()) == (1, 1)
     t = spark.createDataFrame([("09:30",), ("9:30",)], "t string").select(assist.local_time(F.col("t")).alias("x")).collect()
     assert (t[0].x.hour, t[0].x.minute, t[1].x) == (9, 30, None)
+
+
+def test_small(spark):
+    w = spark.createDataFrame([(1, 0, "Menu\nalpha"), (1, 1, "menu \nbeta"), (2, 0, "menu")], "doc_id int, window_idx int, text string")
+    assert [(r.doc_id, r.window_idx, r.repeats) for r in assist.repeated_lines(w, "text").orderBy("doc_id", "window_idx").collect()] == [(1, 0, 0), (1, 1, 1), (2, 0, 0)]
+    e = spark.createDataFrame([("c", 1, 2, "knows"), ("c", 2, 9, "has")], "g string, src int, dst int, relation string")
+    n = spark.createDataFrame([(1, "A"), (2, "B")], "id int, label string")
+    assert assist.render_edges(e, n, ["g"]).first().text == "A -[knows]-> B\nB -[has]-> ?"
+    now = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    r = spark.range(1).select(
+        assist.next_after_run(F.lit(False), F.lit("2024-01-02").cast("timestamp"), now).alias("a"), assist.next_after_run(F.lit(True), now, now).alias("b"),
+        assist.lesson_score(F.lit("open the settings page"), F.array(F.lit("Settings"), F.lit("")), F.lit("page settings")).alias("c"),
+        assist.first_incompatibility(F.lit("needs bash"), [("python", "p"), ("bash", "shell")]).alias("d"),
+        assist.one_of(F.lit("pink"), ["red"], "grey").alias("e"), assist.map_label(F.lit("PER"), {"PER": "person"}, "other").alias("f"),
+        assist.within_limits(F.lit("2024-01-01 09:00:00").cast("timestamp"), now, F.lit(60), F.lit(9), F.lit(5)).alias("g"),
+    ).first()
+    assert (r.a.enabled, r.b.enabled, r.b.next, r.c, r.d, r.e, r.f, r.g) == (True, False, None, 4, "shell", "grey", "person", "time")
