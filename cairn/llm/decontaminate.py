@@ -10,6 +10,7 @@ IDENTITY of its words equal counts, stretches on several diagonals (inserted or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ WORDS = 13
 STRETCH = 5
 #: Benchmark words sent to the workers at once.
 BLOCK_WORDS = 1_000_000
+#: Seeds in common that are held at once.
+HITS = 1 << 20
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,6 +44,15 @@ def seed_hashes(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct rows."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[fresh] for c in columns)
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -73,7 +85,8 @@ class Index:
 
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, diagonal) of every seed in common, once each. doc: document of each word."""
-        d, i, g = [], [], []
+        none = np.zeros(0, np.int64)
+        found = none, none, none
         for s, mask in enumerate(self.masks):
             got = seed_hashes(h, mask, s)
             at = np.flatnonzero(self.filter[(got >> np.uint64(64 - self.bits)).astype(np.int64)])
@@ -81,15 +94,14 @@ class Index:
             lo = np.searchsorted(self.keys, got[at], "left")
             n = np.searchsorted(self.keys, got[at], "right") - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if len(at):
-                k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                d.append(np.repeat(doc[at], n))
-                i.append(self.item[k])
-                g.append(np.repeat(at, n) - self.place[k])
-        if not d:
-            return (np.zeros(0, np.int64),) * 3
-        every = np.unique(np.column_stack([np.concatenate(d), np.concatenate(i), np.concatenate(g)]), axis=0)
-        return every[:, 0], every[:, 1], every[:, 2]
+            # a repeated word makes as many hits as its places multiply to, but few diagonals: take some at a time
+            part = np.cumsum(n) // HITS
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]):
+                many = n[a:b]
+                k = np.repeat(lo[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                x = np.repeat(at[a:b], many)
+                found = _distinct(*(np.concatenate(c) for c in zip(found, (doc[x], self.item[k], x - self.place[k]))))
+        return found
 
     def overlaps(self, h: np.ndarray, first: np.ndarray) -> list[list[tuple]]:
         """Verified overlaps of each document: (item id, words that agree, words of the item)."""
@@ -113,6 +125,8 @@ class Index:
                 x, y = best_stretch(same)
                 if same[x:y].sum() >= min(STRETCH, len(item)):
                     covered[a + x : a + y] |= same[x:y]
+                    if covered.all():
+                        break
             if covered.sum() >= min(WORDS, int(np.ceil(IDENTITY * len(item)))):
                 out[d[at]].append((self.ids[k], int(covered.sum()), len(item)))
             at = end

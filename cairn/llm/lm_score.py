@@ -9,8 +9,9 @@ where base is the add-one unigram probability from exact counts.
 Words travel as 64-bit hashes. Texts are cut into blocks; a block holds its distinct words and its
 texts as indices into them, so a word's count is shuffled once for each block, not for each use. The
 filter is made of segments, one for each shard of the bigrams, and each task fills one. Its size
-follows the bigrams up to MAX_BITS, a proven bound of the broadcast; beyond that no count is left
-out, but probes err more often.
+follows the training tokens, so that probes err equally often at every size. Up to BROADCAST_BITS the
+whole filter goes to every worker; beyond that each block sends its distinct bigrams to the segments
+of their shards and gets their levels back, which gives the same scores.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ MU, SHARE = 5.0, 0.4
 BASE = 1.5
 PROBES = 3
 BITS_EACH = 6
-MAX_BITS = 72 << 23
+#: Bits of a filter that is broadcast, at most.
+BROADCAST_BITS = 72 << 23
 _LEVEL = np.uint64(0xA0761D6478BD642F)
 _NEXT = np.uint64(0xE7037ED1A0B428DB)
 
@@ -78,22 +80,23 @@ class CountFilter:
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts of bigrams; zero for those that are not there."""
-        level = np.zeros(len(h), np.int64)
-        live, q = np.arange(len(h)), 0
-        while len(live) and self.size:
-            q += 1
-            some = h[live]
-            start = shard_of(some, self.shards) * self.size
-            short = shortened(some)
-            hit = np.ones(len(live), bool)
-            for p in probes(short, q, self.size):
-                p = p + start
-                hit &= (self.bytes[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[hit]
-            level[live] = q
-            if q == 63:
-                break
-        return level_counts()[level]
+        start = shard_of(h, self.shards) * self.size
+        return level_counts()[read_levels(self.bytes, shortened(h), start, self.size)]
+
+
+def read_levels(data: np.ndarray, short: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Levels of shortened bigrams, each in the segment of ``size`` bits that begins at its ``start``."""
+    level = np.zeros(len(short), np.int64)
+    live, q = np.arange(len(short) if size else 0), 0
+    while len(live) and q < 63:
+        q += 1
+        hit = np.ones(len(live), bool)
+        for p in probes(short[live], q, size):
+            p = p + start[live]
+            hit &= (data[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        live = live[hit]
+        level[live] = q
+    return level
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -249,11 +252,58 @@ def _segment(size: int):
     return run
 
 
+def _asked_parts(shards: int):
+    """(shard, block, bigrams) of all texts of each block, distinct and in order of their hashes."""
+
+    def run(batches):
+        for b in batches:
+            for block, sizes, words, n_stream, stream in zip(*(b.column(k).to_pylist() for k in range(5))):
+                h = np.unique(_block_pairs(stream, n_stream, sizes, words))
+                shard = shard_of(h, shards)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+                low = shortened(h).astype("<u4")
+                yield _rows(
+                    [(int(shard[i]), block, low[i:j].tobytes()) for i, j in zip(cuts.tolist(), cuts[1:].tolist())],
+                    ["shard", "block", "pairs"], [pa.int32(), pa.int64(), pa.binary()],
+                )
+
+    return run
+
+
+def _block_pairs(stream: bytes, n_stream: int, sizes: list[int], words: bytes) -> np.ndarray:
+    return pair_hashes(*_contexts(_unz(stream, n_stream, "<u4"), np.array(sizes), np.frombuffer(words, "<u8")))
+
+
+def _answer(size: int):
+    """Levels of the bigrams that blocks ask a shard for; a shard without a segment has none."""
+
+    def run(asked: pa.Table, made: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
+        data = np.frombuffer(made.column("segment")[0].as_py() if made.num_rows else bytes(size // 8), np.uint8)
+        out = []
+        for pairs in asked.column("pairs").to_pylist():
+            h = np.frombuffer(pairs, "<u4").astype(np.uint64)
+            out.append(read_levels(data, h, np.zeros(len(h), np.int64), size).astype(np.uint8).tobytes())
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "levels": pa.array(out, pa.binary())})
+
+    return run
+
+
 def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, most: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame,
+    held_out,
+    scratch: Scratch,
+    mu: float = MU,
+    most: float = SHARE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    broadcast_bits: int = BROADCAST_BITS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     held_out: a boolean column; the model learns from the other rows. Null and empty texts have the end
@@ -280,33 +330,52 @@ def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, most: flo
     vocabulary, tokens = int(stats.known or 0), int(stats.tokens or 0)
 
     pair_shards = _power(max(16, size.blocks))
-    bits = min(MAX_BITS, max(1024 * pair_shards, BITS_EACH * (size.tokens or 0)))
+    bits = max(1024 * pair_shards, BITS_EACH * (size.tokens or 0))
     segment = max(64, bits // pair_shards // 64 * 64)
     pairs = blocks.select("held", "sizes", "n_words", "words", "n_stream", "stream").mapInArrow(
         _pair_parts(pair_shards), "shard int, pairs binary, counts binary, n long"
     )
     made = pairs.groupBy("shard").applyInArrow(_segment(segment), "shard int, segment binary")
-    whole = bytearray(pair_shards * segment // 8)
-    for r in scratch.table(made, "filter").toLocalIterator():
-        whole[r.shard * segment // 8 : (r.shard + 1) * segment // 8] = r.segment
-    shared = spark.sparkContext.broadcast(bytes(whole))
-    del whole
+    made = scratch.table(made, "filter")
+    local = pair_shards * segment <= broadcast_bits
+    shared = None
+    if local:
+        whole = bytearray(pair_shards * segment // 8)
+        for r in made.toLocalIterator():
+            whole[r.shard * segment // 8 : (r.shard + 1) * segment // 8] = r.segment
+        shared = spark.sparkContext.broadcast(bytes(whole))
+        del whole
     starts = int(size.train_docs or 0)
 
     per_block = totals.groupBy("block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "n", "totals"))), lambda x: F.struct(x.n, x.totals)).alias("parts")
     )
     joined = blocks.drop("counts", "train_tokens").join(per_block, "block")
-    joined = joined.select("doc_ids", "held", "sizes", "words", "n_stream", "stream", "parts")
+    if not local:
+        asked = blocks.select("block", "sizes", "words", "n_stream", "stream").mapInArrow(
+            _asked_parts(pair_shards), "shard int, block long, pairs binary"
+        )
+        levels = asked.groupBy("shard").cogroup(made.groupBy("shard")).applyInArrow(
+            _answer(segment), "block long, shard int, levels binary"
+        )
+        levels = scratch.table(levels, "levels").groupBy("block").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("shard", "levels"))), lambda x: x.levels).alias("levels")
+        )
+        joined = joined.join(levels, "block")
+    joined = joined.select("doc_ids", "held", "sizes", "words", "n_stream", "stream", "parts", *([] if local else ["levels"]))
 
     def run(batches):
-        model = CountFilter(shared.value, pair_shards, segment)
+        model = CountFilter(shared.value, pair_shards, segment) if local else None
         level = np.log10(tokens + vocabulary + 1)
         for b in batches:
             for k in range(b.num_rows):
                 ids, held, sizes, words, n_stream, stream, parts = (b.column(c)[k].as_py() for c in range(7))
                 words, sizes = np.frombuffer(words, "<u8"), np.array(sizes)
                 total = np.concatenate([_unz(p["totals"], p["n"], "<i8") for p in parts])
+                if not local:  # levels in the order of the block's distinct bigrams
+                    answers = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(7)[k].as_py()])
+                    _, place = np.unique(_block_pairs(stream, n_stream, sizes, words), return_inverse=True)
+                    answers = answers[place]
                 stream = _unz(stream, n_stream, "<u4")
                 del parts
                 first = np.cumsum(sizes) - sizes
@@ -325,7 +394,8 @@ def score(docs: DataFrame, held_out, scratch: Scratch, mu: float = MU, most: flo
                         left[0], before[0] = words[stream[at - 1]], total[stream[at - 1]]
                     begin = first[(first >= at) & (first < at + len(part))] - at
                     left[begin], before[begin] = START, starts
-                    both = np.minimum(model.counts(pair_hashes(left, right)), np.minimum(before, count[cut]))
+                    both = model.counts(pair_hashes(left, right)) if local else level_counts()[answers[cut]]
+                    both = np.minimum(both, np.minimum(before, count[cut]))
                     share = np.minimum(most, before / (before + mu))
                     score[cut] = np.log10(share * both / np.maximum(before, 1) + (1 - share) * 10 ** base[cut])
                 out = [

@@ -47,7 +47,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     distinct = judged.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 4096), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     wide = distinct.join(F.broadcast(lengths)).select("host", "path", F.explode(suffixes).alias("suffix"), "plens")
     fitting = F.filter("plens", lambda n: n <= F.length("path"))
     wide = wide.select("host", "path", "suffix", F.explode(fitting).alias("plen"))

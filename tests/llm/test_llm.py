@@ -263,6 +263,14 @@ def test_lm(spark, docs):
     assert sorted((g.doc_id or -1, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == want
     assert all(g.score <= 0 for g in got) and sum(g.score for g in got) > sum(g.base_score for g in got)
     assert lm_score.score(docs.limit(0), F.lit(False), Scratch(spark, "t")).count() == 0
+    assert lm_score.score(docs.limit(0), F.lit(False), Scratch(spark, "t"), broadcast_bits=0).count() == 0
+    # a filter that is too large to broadcast gives the same scores
+    far = lm_score.score(small, fold("doc_id", 7) == 2, Scratch(spark, "t"), broadcast_bits=0).collect()
+    key = lambda r: (r.doc_id or -1, r.n_tokens, r.base_score, r.score)
+    assert sorted(map(key, far)) == sorted(map(key, got))
+    many = spark.createDataFrame([(i, f"w{i % 50} v{i % 31} " * 60) for i in range(800)], "doc_id long, text string").repartition(8)
+    near, far = (lm_score.score(many, fold("doc_id", 7) == 2, Scratch(spark, "t"), broadcast_bits=b).collect() for b in (1 << 40, 0))
+    assert sorted(map(key, far)) == sorted(map(key, near))
 
 
 def test_count_filter():
@@ -344,6 +352,17 @@ def test_decontaminate(spark):
     assert decontaminate.find_overlaps(docs, bench.limit(0), ["doc_id"]).where(F.size("overlaps") == 0).count() == len(cases) + 3
 
 
+def test_decontaminate_repeated_words():
+    """Every place of a repeated word meets every other; hits are taken some at a time."""
+    index = decontaminate.Index([(1, "ha " * 60), (2, "ha ho " * 20), (3, "a b c d e f g h i j k l m n o p")])
+    h, first = word_hashes(pa.array(["ha " * 100_000, "x " * 20 + "ha " * 20, "ha ho " * 9, "no words in common with them"]), decontaminate.ALNUM_SPLIT)
+    got = [[x[0] for x in found] for found in index.overlaps(h, first)]
+    assert got == [[1], [1], [2], []]
+    d, i, g = index.hits(h, np.repeat(np.arange(4), np.diff(first)))
+    rows = list(zip(d.tolist(), i.tolist(), g.tolist()))
+    assert rows == sorted(set(rows)) and len({r for r in rows if r[:2] == (0, 0)}) > 100_000
+
+
 def test_quality(spark, docs, labels):
     got = quality.judge(docs, labels, Scratch(spark, "t"))
     assert got.count() == docs.count() and got.where("quality is null or quality < 0 or quality > 1").count() == 0
