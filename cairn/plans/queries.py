@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import assist, chunking, graph, memory, records, retrieval
+from ..operators import assist, chunking, graph, memory, parsing, records, retrieval
 from ..session import table
 from ..sources import readers
 from ..streaming import streams
@@ -451,3 +451,34 @@ def window_information(spark, sf):
     chunks = chunking.chunk_table(table(spark, sf, "documents"))
     w = assist.window_information(chunks.withColumnRenamed("chunk_idx", "window_idx"), "text")
     return assist.low_information(w.select("doc_id", "window_idx", F.round("information", 6).alias("information")))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text, regexp_split_to_array(trim(text), '\s+') AS w FROM conversations WHERE role = 'user')
+SELECT conv_id || '-' || turn AS id, array_to_string(w[1:6], ' ') || CASE WHEN len(w) > 6 THEN '…' ELSE '' END AS label, text AS summary FROM t""")
+def memory_entries(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    entries = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit(0).alias("created_at"), F.lit(0).alias("updated_at"))
+    return parsing.memory_from_entries(entries).select("id", "label", "summary")
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL WHEN event_type = 'view' THEN 'deferred' WHEN value > 20 THEN 'ok' WHEN user_id % 2 = 0 THEN 'needs_approval' ELSE 'error' END AS status, ts FROM events)
+SELECT event_id, status, CASE WHEN status = 'deferred' THEN 'Agent was busy; deferred for 5 minutes.' WHEN status IN ('error', 'needs_approval') THEN 'Scheduled task failed.' END AS error,
+       CASE WHEN status = 'deferred' THEN CAST(floor(epoch(ts) + 300) AS BIGINT) ELSE 0 END AS next FROM r""")
+def settled_runs(spark, sf):
+    e = table(spark, sf, "events")
+    s = parsing.settle_run(e.user_id % 5 != 0, e.event_type == "view", e.value > 20, e.user_id % 2 == 0, F.lit(None).cast("string"), e.ts)
+    return e.select("event_id", s.alias("s")).select("event_id", "s.status", "s.error", F.coalesce(F.floor(F.unix_micros(F.col("s.next").cast("timestamp")) / 1000000), F.lit(0).cast("long")).alias("next"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'Click item ' || user_id WHEN 'purchase' THEN 'Submit item ' || user_id ELSE 'Type ' || event_type || ' into item ' || user_id END AS line FROM events""")
+def action_lines(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.when(e.event_type == "click", "click").when(e.event_type == "purchase", "submit").otherwise("input")
+    return e.select("event_id", parsing.action_line(kind, F.concat(F.lit("item "), e.user_id), F.lit(None).cast("string"), e.event_type).alias("line"))
+
+
+@query("""WITH h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'click')
+SELECT event_id, user_id FROM h WHERE n <= 20""")
+def recorded_events(spark, sf):
+    e = table(spark, sf, "events").withColumn("host", F.concat("event_type", F.lit(".example.com")))
+    return parsing.host_events(e, F.lit("click.example.com"), ["ts", "event_id"], ["user_id"], 20).select("event_id", "user_id")
