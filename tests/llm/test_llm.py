@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from cairn.llm import bpe, decontaminate, embed_dedup, golay, html_text, lm_score, packing, quality, simhash, stages, token_files, toxicity, url_rules
+from cairn.llm import bpe, decontaminate, embed_dedup, golay, html_text, lm_score, near_copies, packing, quality, simhash, stages, token_files, toxicity, url_rules
 from cairn.llm.components import components
 from cairn.llm.folds import fold
 from cairn.llm.queries import queries
@@ -434,3 +434,35 @@ def test_stages_with_clashing_columns(spark, docs):
         assert out.columns == few.columns and out.count() <= few.count()
     one = stages.dedup_stage(spark, few, SF).where("doc_id = 6 or doc_id = 7 or doc_id = 8").count()
     assert one == 1
+
+
+def test_near_copies(spark, docs):
+    """Classes of five-word shingle sets with similarity 0.8 or more, at every distance, in a dense group and by chains."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is null or doc_id < 200").collect()]
+    for n in (9, 60, 150, 400):
+        base = [word() for _ in range(n)]
+        for k in range(40):
+            w = list(base)
+            for _ in range(k % 20 * n // 400):
+                w[rnd.randrange(n)] = word()
+            rows.append((1000 + len(rows), " ".join(w)))
+    line = [word() for _ in range(12)]
+    rows += [(5000 + k, " ".join(line + [word() for _ in range(20)])) for k in range(100)]
+    rows += [(6000 + k, " ".join(line + ["x"] * (k % 3))) for k in range(90)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    root = reach(len(rows), links)
+    least = defaultdict(list)
+    for (i, _), c in zip(rows, root):
+        least[c] += [i] if i is not None else []
+    want = Counter((i, min(least[c], default=None)) for (i, _), c in zip(rows, root))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((g.doc_id, g.component_id) for g in near_copies.classes(df, Scratch(spark, "t")).collect()) == want
+    kept = [r.doc_id for r in stages.dedup_stage(spark, df, SF).collect() if r.doc_id is not None]
+    assert sorted(kept) == sorted({c for _, c in want if c is not None})
+    assert near_copies.classes(df.limit(0), Scratch(spark, "t")).count() == 0
