@@ -3,14 +3,16 @@
 A seed is a fixed mask over consecutive words: the words under its zeros are ignored, so a hash meets
 its counterpart across substituted words. The hashes of the benchmark's items (in blocks of bounded
 size, each sent to all workers) are met by those of every position of every document. Around a hit,
-document and item are compared word by word along the hit's diagonal; the best stretch with at least
-IDENTITY of its words equal counts, stretches on several diagonals (inserted or lost words) together.
+document and item are compared word by word along the hit's diagonal; the stretches with at least
+IDENTITY of their words equal count, those on several diagonals (inserted or lost words) together.
+Items of fewer words than the longest mask have masks of their own, which meet every substitution that
+IDENTITY allows them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,16 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[fresh] for c in columns)
 
 
+def short_masks(n: int) -> list[tuple[str, tuple[int, ...]]]:
+    """Masks, and their places in an item of n words, one of which meets any copy with the words that IDENTITY asks for equal."""
+    lost = n - int(np.ceil(IDENTITY * n - 1e-9))
+    out: dict[str, set[int]] = {}
+    for zeros in combinations(range(n), lost):
+        mask = "".join("0" if k in zeros else "1" for k in range(n))
+        out.setdefault(mask.strip("0"), set()).add(mask.index("1"))  # ends may lie beyond the document
+    return [(mask, tuple(sorted(places))) for mask, places in out.items()]
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -61,19 +73,20 @@ class Index:
         self.words, self.first = words, first
         self.ids = [i for i, _ in items]
         size = np.diff(first)
-        shortest = min(map(len, masks))
-        # items that no mask fits are met whole
-        self.masks = [*masks, *("1" * int(n) for n in sorted(set(size[(size > 0) & (size < shortest)].tolist())))]
+        short = {n: short_masks(n) for n in sorted(set(size[(size > 0) & (size < max(map(len, masks)))].tolist()))}
+        self.masks = list(dict.fromkeys([*masks, *(mask for found in short.values() for mask, _ in found)]))
         keys, item, place = [], [], []
         for k in range(len(items)):
             h = words[first[k] : first[k + 1]]
+            own = dict(short.get(len(h), ()))
             for s, mask in enumerate(self.masks):
-                if s >= len(masks) and len(h) != len(mask):
+                if s >= len(masks) and mask not in own:
                     continue
                 got = seed_hashes(h, mask, s)
-                keys.append(got)
-                item.append(np.full(len(got), k))
-                place.append(np.arange(len(got)))
+                at = np.arange(len(got)) if s < len(masks) else np.array(own[mask])
+                keys.append(got[at])
+                item.append(np.full(len(at), k))
+                place.append(at)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -119,27 +132,40 @@ class Index:
             k, lo, hi = int(i[at]), int(first[d[at]]), int(first[d[at] + 1])
             item = self.words[self.first[k] : self.first[k + 1]]
             covered = np.zeros(len(item), bool)
+            need = int(np.ceil(IDENTITY * len(item) - 1e-9))
             for diagonal in g[at:end].tolist():
                 a, b = max(0, lo - diagonal), min(len(item), hi - diagonal)
                 same = h[diagonal + a : diagonal + b] == item[a:b]
-                x, y = best_stretch(same)
-                if same[x:y].sum() >= min(STRETCH, len(item)):
+                for x, y in stretches(same, min(STRETCH, need)):
                     covered[a + x : a + y] |= same[x:y]
-                    if covered.all():
-                        break
-            if covered.sum() >= min(WORDS, int(np.ceil(IDENTITY * len(item)))):
+                if covered.all():
+                    break
+            if covered.sum() >= min(WORDS, need):
                 out[d[at]].append((self.ids[k], int(covered.sum()), len(item)))
             at = end
         return out
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the most equal words in excess of what IDENTITY allows."""
-    gain = np.where(same, 1 - IDENTITY, -IDENTITY) + 1e-9
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    y = int(np.argmax(total - low))
-    return int(np.argmin(total[: y + 1])), y
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Disjoint stretches with IDENTITY of their words equal, and ``least`` equal words: the one with the most, then those beside it."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        part = same[a:b]
+        if part.sum() < least:
+            continue
+        # from each start, the last end up to which no more words differ than IDENTITY allows
+        total = np.concatenate([[0.0], np.cumsum(np.where(part, 1 - IDENTITY, -IDENTITY) + 1e-9)])
+        equal = np.concatenate([[0], np.cumsum(part)])
+        later = np.maximum.accumulate(total[::-1])  # rising: the greatest total of the last k + 1 ends
+        end = len(part) - np.searchsorted(later, total, "left")
+        x = int(np.argmax(equal[end] - equal))
+        y = int(end[x])
+        if equal[y] - equal[x] < least:
+            continue
+        out.append((a + x, a + y))
+        todo += [(a, a + x), (a + y, b)]
+    return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

@@ -466,3 +466,25 @@ def test_near_copies(spark, docs):
     kept = [r.doc_id for r in stages.dedup_stage(spark, df, SF).collect() if r.doc_id is not None]
     assert sorted(kept) == sorted({c for _, c in want if c is not None})
     assert near_copies.classes(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_decontaminate_substitutions():
+    """Passages with a tenth to a fifth of their words replaced at random are not refused once a seed meets them."""
+    h, first = word_hashes(pa.array([" ".join(f"w{k}" for k in range(20)), " ".join("zzz" if k in (3, 10, 16) else f"w{k}" for k in range(20))]), decontaminate.ALNUM_SPLIT)
+    index = decontaminate.Index([(1, " ".join(f"w{k}" for k in range(20)))])
+    assert index.overlaps(h, first) == [[(1, 20, 20)], [(1, 17, 20)]]
+    rnd = random.Random(7)
+    for n in (5, 6, 7, 8, 9, 12, 15, 20, 40):
+        item = [f"i{k}" for k in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        texts, certain = [], []
+        for _ in range(200):
+            lost = rnd.sample(range(n), rnd.randint(1, n - -(-4 * n // 5)))
+            w = [f"z{rnd.random()}".replace(".", "") if k in lost else x for k, x in enumerate(item)]
+            texts.append(" ".join(["before"] * rnd.randint(0, 3) + w + ["after"] * rnd.randint(0, 3)))
+            certain.append(n < 10)
+        h, first = word_hashes(pa.array(texts), decontaminate.ALNUM_SPLIT)
+        found = index.overlaps(h, first)
+        d, _, _ = index.hits(h, np.repeat(np.arange(len(texts)), np.diff(first)))
+        met = set(d.tolist())
+        assert all(bool(x) == (k in met) for k, x in enumerate(found)) and all(found[k] for k, c in enumerate(certain) if c)
