@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Bigram counts of the training texts are quantised on a logarithmic scale; a bigram of level q is put
-in the filter as (bigram, 1) to (bigram, q). Workers hold the filter and read a count back by probing
-levels until one is missing. The probability of a word is interpolated: with c the count of the word
-before it and share = min(SHARE, c / (c + MU)), it is share * count(both) / c + (1 - share) * base(word),
-where base is the add-one unigram probability from exact counts.
+in the filter as (bigram, 1) to (bigram, q), and a count is read back by probing levels until one is
+missing. The probability of a word is interpolated: with c the count of the word before it and
+share = min(SHARE, c / (c + MU)), it is share * count(both) / c + (1 - share) * base(word), where base
+is the add-one unigram probability from exact counts.
 
 Words travel as 64-bit hashes. Texts are cut into blocks; a block holds its distinct words and its
-texts as indices into them, so a word's count is shuffled once for each block, not for each use. The
-filter is made of segments, one for each shard of the bigrams, and each task fills one. Its size
-follows the training tokens, so that probes err equally often at every size. Up to BROADCAST_BITS the
-whole filter goes to every worker; beyond that each block sends its distinct bigrams to the segments
-of their shards and gets their levels back, which gives the same scores.
+texts as indices into them. The filter grows with the corpus, so that probes err equally often at every
+size, and thus is never broadcast whole: it is cut into segments by bigram hash, and the distinct words
+and bigrams of each block, with their training counts, are shuffled once, to the tasks of their shards.
+A task adds up the counts of its shard, fills the shard's segment, and answers each block with the
+totals of its words and with the levels that the segment gives its bigrams. There is one plan for all
+sizes; shards hold about SHARD_TOKENS tokens' words and bigrams each.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 
 from .folds import fold
 from .scratch import Scratch
-from .wordvec import BLANK_SPLIT, mix, split_batches, word_hashes
+from .wordvec import BLANK_SPLIT, mix, release, split_batches, word_hashes
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+#: Tokens of the corpus for each shard, at most; a task holds the distinct bigrams of as many.
+SHARD_TOKENS = 8_000_000
+#: Shards at least.
+SHARDS = 16
 END, START = np.uint64(1), np.uint64(2)
 MU, SHARE = 5.0, 0.4
 BASE = 1.5
 PROBES = 3
 BITS_EACH = 6
-#: Bits of a filter that is broadcast, at most.
-BROADCAST_BITS = 72 << 23
 _LEVEL = np.uint64(0xA0761D6478BD642F)
 _NEXT = np.uint64(0xE7037ED1A0B428DB)
 
@@ -71,19 +74,6 @@ def fill_segment(h: np.ndarray, counts: np.ndarray, size: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-class CountFilter:
-    """The whole filter: segments of equal size, by shard."""
-
-    def __init__(self, segments: bytes, shards: int, size: int):
-        self.bytes = np.frombuffer(segments, np.uint8)
-        self.shards, self.size = shards, size
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts of bigrams; zero for those that are not there."""
-        start = shard_of(h, self.shards) * self.size
-        return level_counts()[read_levels(self.bytes, shortened(h), start, self.size)]
-
-
 def read_levels(data: np.ndarray, short: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """Levels of shortened bigrams, each in the segment of ``size`` bits that begins at its ``start``."""
     level = np.zeros(len(short), np.int64)
@@ -165,49 +155,11 @@ def _encode(batches):
         yield flush()
 
 
-def _word_parts(shards: int):
-    """(shard, block, words, counts) of the blocks' word lists."""
-
-    def run(batches):
-        for b in batches:
-            for block, n, words, counts in zip(*(b.column(k).to_pylist() for k in range(4))):
-                w, c = np.frombuffer(words, "<u8"), _unz(counts, n, "<u4")
-                shard = shard_of(w, shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-                cols = [
-                    (int(shard[i]), block, w[i:j].tobytes(), _z(c[i:j]), j - i) for i, j in zip(cuts.tolist(), cuts[1:].tolist())
-                ]
-                yield _rows(cols, ["shard", "block", "words", "counts", "n"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()])
-
-    return run
-
-
 def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def _word_totals(t: pa.Table) -> pa.Table:
-    """For each block of a shard the total counts of its words; the shard's vocabulary and tokens once."""
-    sizes = t.column("n").to_pylist()
-    words = [np.frombuffer(w, "<u8") for w in t.column("words").to_pylist()]
-    counts = [_unz(c, n, "<u4") for c, n in zip(t.column("counts").to_pylist(), sizes)]
-    distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(place, np.concatenate(counts).astype(float), len(distinct)).astype("<i8")
-    at, out = 0, []
-    for n in sizes:
-        out.append(_z(total[place[at : at + n]]))
-        at += n
-    known = [int((total > 0).sum())] + [0] * (len(sizes) - 1)
-    tokens = [int(total.sum())] + [0] * (len(sizes) - 1)
-    return pa.table(
-        {
-            "block": t.column("block"), "shard": t.column("shard"), "n": t.column("n"), "totals": pa.array(out, pa.binary()),
-            "known": pa.array(known, pa.int64()), "tokens": pa.array(tokens, pa.int64()),
-        }
-    )
-
-
 def _contexts(stream: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of previous words, and of words, for every token."""
     right = words[stream]
@@ -217,75 +169,75 @@ def _contexts(stream: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple
     return left, right
 
 
-def _pair_parts(shards: int):
-    """(shard, bigrams, counts) of the training texts of each block."""
+def _block_pairs(stream: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bigrams of a block in order of their hashes, and which of them each token is."""
+    left, right = _contexts(stream, sizes, words)
+    return np.unique(pair_hashes(left, right), return_inverse=True)
 
-    def run(batches):
-        for b in batches:
-            for held, sizes, n_words, words, n_stream, stream in zip(*(b.column(k).to_pylist() for k in range(6))):
-                sizes = np.array(sizes)
-                left, right = _contexts(_unz(stream, n_stream, "<u4"), sizes, np.frombuffer(words, "<u8"))
-                train = np.repeat(~np.array(held, bool), sizes)
-                h, c = np.unique(pair_hashes(left[train], right[train]), return_counts=True)
-                shard = shard_of(h, shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-                low = shortened(h).astype("<u4")
-                yield _rows(
-                    [(int(shard[i]), low[i:j].tobytes(), _z(c[i:j].astype("<u4")), j - i) for i, j in zip(cuts.tolist(), cuts[1:].tolist())],
-                    ["shard", "pairs", "counts", "n"], [pa.int32(), pa.binary(), pa.binary(), pa.int64()],
-                )
 
-    return run
+_ASKED = "shard int, block long, n_words long, words binary, counts binary, n_pairs long, pairs binary, pair_counts binary"
 
 
-def _segment(size: int):
-    def run(t: pa.Table) -> pa.Table:
-        sizes = t.column("n").to_pylist()
-        h = np.concatenate([np.frombuffer(p, "<u4") for p in t.column("pairs").to_pylist()])
-        c = np.concatenate([_unz(x, n, "<u4") for x, n in zip(t.column("counts").to_pylist(), sizes)])
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        begin = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1))
-        made = fill_segment(h[begin].astype(np.uint64), np.add.reduceat(c.astype(np.int64), begin), size)
-        return pa.table({"shard": t.column("shard").slice(0, 1), "segment": pa.array([made], pa.binary())})
-
-    return run
-
-
-def _asked_parts(shards: int):
-    """(shard, block, bigrams) of all texts of each block, distinct and in order of their hashes."""
+def _ask(shards: int):
+    """For each block and shard the distinct words and bigrams, with their training counts."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _ASKED.split(", ")]
 
     def run(batches):
         for b in batches:
-            for block, sizes, words, n_stream, stream in zip(*(b.column(k).to_pylist() for k in range(5))):
-                h = np.unique(_block_pairs(stream, n_stream, sizes, words))
-                shard = shard_of(h, shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+            for block, held, sizes, n_words, words, counts, n_stream, stream in zip(*(b.column(k).to_pylist() for k in range(8))):
+                words, counts, sizes = np.frombuffer(words, "<u8"), _unz(counts, n_words, "<u4"), np.array(sizes)
+                h, which = _block_pairs(_unz(stream, n_stream, "<u4"), sizes, words)
+                train = np.repeat(~np.array(held, bool), sizes)
+                c = np.bincount(which[train], minlength=len(h)).astype("<u4")
                 low = shortened(h).astype("<u4")
-                yield _rows(
-                    [(int(shard[i]), block, low[i:j].tobytes()) for i, j in zip(cuts.tolist(), cuts[1:].tolist())],
-                    ["shard", "block", "pairs"], [pa.int32(), pa.int64(), pa.binary()],
-                )
+                of_words, of_pairs = (np.searchsorted(shard_of(x, shards), np.arange(shards + 1)).tolist() for x in (words, h))
+                rows = []
+                for k, (i, j, x, y) in enumerate(zip(of_words, of_words[1:], of_pairs, of_pairs[1:])):
+                    if j > i or y > x:
+                        rows.append((k, block, j - i, words[i:j].tobytes(), _z(counts[i:j]), y - x, low[x:y].tobytes(), _z(c[x:y])))
+                yield _rows(rows, names, kinds)
+        release()
 
     return run
 
 
-def _block_pairs(stream: bytes, n_stream: int, sizes: list[int], words: bytes) -> np.ndarray:
-    return pair_hashes(*_contexts(_unz(stream, n_stream, "<u4"), np.array(sizes), np.frombuffer(words, "<u8")))
+_ANSWERS = "block long, shard int, n_words long, totals binary, n_pairs long, levels binary, known long, tokens long"
 
 
 def _answer(size: int):
-    """Levels of the bigrams that blocks ask a shard for; a shard without a segment has none."""
-
-    def run(asked: pa.Table, made: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
-        data = np.frombuffer(made.column("segment")[0].as_py() if made.num_rows else bytes(size // 8), np.uint8)
-        out = []
-        for pairs in asked.column("pairs").to_pylist():
-            h = np.frombuffer(pairs, "<u4").astype(np.uint64)
-            out.append(read_levels(data, h, np.zeros(len(h), np.int64), size).astype(np.uint8).tobytes())
-        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "levels": pa.array(out, pa.binary())})
+    """What a shard says to each block: total counts of its words, and the levels of its bigrams by the shard's segment."""
+
+    def run(t: pa.Table) -> pa.Table:
+        n_words, n_pairs = (t.column(c).to_pylist() for c in ("n_words", "n_pairs"))
+
+        def whole(column, sizes=None, kind="<u4"):
+            parts = t.column(column).to_pylist()
+            return np.concatenate([np.frombuffer(x, kind) if sizes is None else _unz(x, n, kind) for x, n in zip(parts, sizes or parts)])
+
+        distinct, place = np.unique(whole("words", kind="<u8"), return_inverse=True)
+        total = np.bincount(place, whole("counts", n_words).astype(float), len(distinct)).astype("<i8")
+        known, tokens = int((total > 0).sum()), int(total.sum())
+        totals = [_z(x) for x in np.split(total[place], np.cumsum(n_words)[:-1])]
+        del distinct, place
+
+        h = whole("pairs")
+        order = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.diff(h[order].astype(np.int64), prepend=-1))
+        levels = np.zeros(len(h), np.uint8)
+        if len(h):
+            count = np.add.reduceat(whole("pair_counts", n_pairs)[order].astype(np.int64), begin)
+            h = h[order[begin]].astype(np.uint64)
+            segment = np.frombuffer(fill_segment(h[count > 0], count[count > 0], size), np.uint8)
+            level = read_levels(segment, h, np.zeros(len(h), np.int64), size).astype(np.uint8)
+            levels[order] = np.repeat(level, np.diff(begin, append=len(order)))
+        out = [
+            t.column("block"), t.column("shard"), t.column("n_words"), pa.array(totals, pa.binary()), t.column("n_pairs"),
+            pa.array([_z(x) for x in np.split(levels, np.cumsum(n_pairs)[:-1])], pa.binary()),
+            pa.array([known, *[0] * (len(totals) - 1)], pa.int64()), pa.array([tokens, *[0] * (len(totals) - 1)], pa.int64()),
+        ]
+        release()
+        return pa.table(out, names=[x.split()[0] for x in _ANSWERS.split(", ")])
 
     return run
 
@@ -294,6 +246,9 @@ def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score(
     docs: DataFrame,
     held_out,
@@ -302,116 +257,57 @@ def score(
     most: float = SHARE,
     id_col: str = "doc_id",
     text_col: str = "text",
-    broadcast_bits: int = BROADCAST_BITS,
+    bits_each: float = BITS_EACH,
+    shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    held_out: a boolean column; the model learns from the other rows. Null and empty texts have the end
-    token alone. Repeated rows count as often as they occur. Nothing to learn from: every word is
-    unknown. An empty table gives no rows.
+    held_out: a boolean column; the model learns from the other rows. bits_each: bits of the filter for
+    each training token. Null and empty texts have the end token alone. Repeated rows count as often as
+    they occur. A text longer than a block is a block of its own, taken whole. Other columns are not
+    read, whatever their names. Nothing to learn from: every word is unknown. An empty table gives no
+    rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = scratch.table(rows.mapInArrow(_encode, _BLOCK), "blocks")
     size = blocks.agg(
-        F.count("*").alias("blocks"), F.sum("n_words").alias("words"), F.sum("train_tokens").alias("tokens"),
+        F.sum("n_stream").alias("stream"), F.sum("train_tokens").alias("tokens"),
         F.sum(F.aggregate("held", F.lit(0), lambda a, h: a + (~h).cast("int"))).alias("train_docs"),
     ).first()
-    # shards follow the blocks, so that a shard's share of the words stays about as large
-    shards = _power(max(16, size.blocks))
-    parts = blocks.select("block", "n_words", "words", "counts").mapInArrow(
-        _word_parts(shards), "shard int, block long, words binary, counts binary, n long"
-    )
-    totals = parts.groupBy("shard").applyInArrow(
-        _word_totals, "block long, shard int, n long, totals binary, known long, tokens long"
-    )
-    totals = scratch.table(totals, "totals")
-    stats = totals.agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
+    shards = _power(max(SHARDS, (size.stream or 0) / shard_tokens))
+    segment = max(1024, int(bits_each * (size.tokens or 0)) // shards // 64 * 64)
+    asked = blocks.select("block", "held", "sizes", "n_words", "words", "counts", "n_stream", "stream").mapInArrow(_ask(shards), _ASKED)
+    answers = scratch.table(asked.groupBy("shard").applyInArrow(_answer(segment), _ANSWERS), "answers")
+    stats = answers.agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
     vocabulary, tokens = int(stats.known or 0), int(stats.tokens or 0)
-
-    pair_shards = _power(max(16, size.blocks))
-    bits = max(1024 * pair_shards, BITS_EACH * (size.tokens or 0))
-    segment = max(64, bits // pair_shards // 64 * 64)
-    pairs = blocks.select("held", "sizes", "n_words", "words", "n_stream", "stream").mapInArrow(
-        _pair_parts(pair_shards), "shard int, pairs binary, counts binary, n long"
-    )
-    made = pairs.groupBy("shard").applyInArrow(_segment(segment), "shard int, segment binary")
-    made = scratch.table(made, "filter")
-    local = pair_shards * segment <= broadcast_bits
-    shared = None
-    if local:
-        whole = bytearray(pair_shards * segment // 8)
-        for r in made.toLocalIterator():
-            whole[r.shard * segment // 8 : (r.shard + 1) * segment // 8] = r.segment
-        shared = spark.sparkContext.broadcast(bytes(whole))
-        del whole
     starts = int(size.train_docs or 0)
 
-    per_block = totals.groupBy("block").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("shard", "n", "totals"))), lambda x: F.struct(x.n, x.totals)).alias("parts")
-    )
-    joined = blocks.drop("counts", "train_tokens").join(per_block, "block")
-    if not local:
-        asked = blocks.select("block", "sizes", "words", "n_stream", "stream").mapInArrow(
-            _asked_parts(pair_shards), "shard int, block long, pairs binary"
-        )
-        levels = asked.groupBy("shard").cogroup(made.groupBy("shard")).applyInArrow(
-            _answer(segment), "block long, shard int, levels binary"
-        )
-        levels = scratch.table(levels, "levels").groupBy("block").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("shard", "levels"))), lambda x: x.levels).alias("levels")
-        )
-        joined = joined.join(levels, "block")
-    joined = joined.select("doc_ids", "held", "sizes", "words", "n_stream", "stream", "parts", *([] if local else ["levels"]))
-
-    def run(batches):
-        model = CountFilter(shared.value, pair_shards, segment) if local else None
-        level = np.log10(tokens + vocabulary + 1)
-        for b in batches:
-            for k in range(b.num_rows):
-                ids, held, sizes, words, n_stream, stream, parts = (b.column(c)[k].as_py() for c in range(7))
-                words, sizes = np.frombuffer(words, "<u8"), np.array(sizes)
-                total = np.concatenate([_unz(p["totals"], p["n"], "<i8") for p in parts])
-                if not local:  # levels in the order of the block's distinct bigrams
-                    answers = np.concatenate([np.frombuffer(x, np.uint8) for x in b.column(7)[k].as_py()])
-                    _, place = np.unique(_block_pairs(stream, n_stream, sizes, words), return_inverse=True)
-                    answers = answers[place]
-                stream = _unz(stream, n_stream, "<u4")
-                del parts
-                first = np.cumsum(sizes) - sizes
-                count = total[stream]
-                base = np.log10(count + 1.0) - level
-                score = np.empty(len(stream))
-                for at in range(0, len(stream), 200_000):
-                    cut = slice(at, at + 200_000)
-                    part = stream[cut]
-                    right = words[part]
-                    left = np.empty_like(right)
-                    left[1:] = right[:-1]
-                    before = np.empty(len(part))
-                    before[1:] = total[part[:-1]]
-                    if at:
-                        left[0], before[0] = words[stream[at - 1]], total[stream[at - 1]]
-                    begin = first[(first >= at) & (first < at + len(part))] - at
-                    left[begin], before[begin] = START, starts
-                    both = model.counts(pair_hashes(left, right)) if local else level_counts()[answers[cut]]
-                    both = np.minimum(both, np.minimum(before, count[cut]))
-                    share = np.minimum(most, before / (before + mu))
-                    score[cut] = np.log10(share * both / np.maximum(before, 1) + (1 - share) * 10 ** base[cut])
-                out = [
-                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()),
-                    pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),
-                    pa.array(np.full(len(sizes), tokens, np.int64)), pa.array(np.add.reduceat(base, first)),
-                    pa.array(np.add.reduceat(score, first)),
-                ]
-                yield pa.RecordBatch.from_arrays(out, names=_OUT)
-
-    return joined.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-
-
-_OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    def run(block: pa.Table, said: pa.Table) -> pa.Table:
+        said = said.sort_by([("shard", "ascending")])
+        get = lambda c: block.column(c)[0].as_py()
+        words, sizes, stream = np.frombuffer(get("words"), "<u8"), np.array(get("sizes")), _unz(get("stream"), get("n_stream"), "<u4")
+        whole = lambda c, n, kind: np.concatenate([_unz(x, k, kind) for x, k in zip(said.column(c).to_pylist(), said.column(n).to_pylist())])
+        count = whole("totals", "n_words", "<i8")[stream]
+        first = np.cumsum(sizes) - sizes
+        base = np.log10(count + 1.0) - np.log10(tokens + vocabulary + 1)
+        before = np.empty(len(stream))
+        before[1:] = count[:-1]
+        before[first] = starts
+        both = level_counts()[whole("levels", "n_pairs", "u1")[_block_pairs(stream, sizes, words)[1]]]
+        both = np.minimum(both, np.minimum(before, count))
+        share = np.minimum(most, before / (before + mu))
+        score = np.log10(share * both / np.maximum(before, 1) + (1 - share) * 10**base)
+        out = [
+            pa.array(get("doc_ids"), pa.int64()), pa.array(get("held"), pa.bool_()), pa.array(sizes, pa.int64()),
+            pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), tokens, np.int64)),
+            pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)),
+        ]
+        release()
+        return pa.table(out, names=[x.split()[0] for x in _OUT.split(", ")])
+
+    kept = blocks.select("block", "doc_ids", "held", "sizes", "words", "n_stream", "stream")
+    said = answers.select("block", "shard", "n_words", "totals", "n_pairs", "levels")
+    return kept.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(run, _OUT)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give unused memory back: workers are used again, by other operators too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def split_batches(batches, column: int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, or one row."""
     for b in batches:
@@ -52,7 +62,7 @@ def split_batches(batches, column: int, limit: int = BLOCK) -> Iterator[pa.Recor
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
-    pa.default_memory_pool().release_unused()  # workers are used again by other operators
+    release()
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:

@@ -251,41 +251,92 @@ def test_code_estimates():
     assert abs((est - true)[off].mean()) < 0.002 and (np.abs(est - true)[off] <= np.broadcast_to(slack[:, None], est.shape)[off]).mean() > 0.9999
 
 
-def test_lm(spark, docs):
-    small = docs.where("doc_id is null or doc_id < 200 or doc_id = 202")
-    got = lm_score.score(small, fold("doc_id", 7) == 2, Scratch(spark, "t")).collect()
-    rows = small.collect()
+def plain_scores(rows, held, mu=lm_score.MU, most=lm_score.SHARE):
+    """(id, held, tokens, known, training tokens, base score, score) of (id, text), with exact counts rounded to their levels."""
     split = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None]
+    one, two, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            w = split(t)
+            one.update(w)
+            two.update(zip([0, *w], w))
+            starts += 1
+    n, v = sum(one.values()), len(one)
+
+    def rounded(c):
+        if not c:
+            return 0.0
+        level = 0
+        while lm_score.BASE ** (level + 1) <= c + 1e-6:
+            level += 1
+        inside = [x for x in range(c, 0, -1) if x >= lm_score.BASE**level - 1e-6]
+        high = inside[0]
+        while high + 1 < lm_score.BASE ** (level + 1) - 1e-6:
+            high += 1
+        return (inside[-1] + high) / 2
+
+    out = []
+    for i, t in rows:
+        w = split(t)
+        base = score = 0.0
+        for a, b in zip([0, *w], w):
+            before = one[a] if a != 0 else starts
+            p = (one[b] + 1) / (n + v + 1)
+            share = min(most, before / (before + mu))
+            both = min(rounded(two[a, b]), before, one[b])
+            base += log10(p)
+            score += log10(share * both / max(before, 1) + (1 - share) * p)
+        out.append((i or -1, held(i), len(w), sum(one[x] > 0 for x in w), n, base, score))
+    return sorted(out)
+
+
+def lm_rows(got):
+    return sorted((g.doc_id or -1, g.held_out, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score) for g in got.collect())
+
+
+def same_scores(got, want):
+    return [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
+
+
+def test_lm(spark, docs):
+    """Scores are those of exact counts rounded to their levels, whatever the number of shards; a small filter errs upward only."""
+    small = docs.where("doc_id is null or doc_id <> 201").select("doc_id", "text", "score")
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for r in rows if not held(r.doc_id) for w in split(r.text))
-    n, v = sum(count.values()), len(count)
-    want = sorted((r.doc_id or -1, held(r.doc_id), len(w := split(r.text)), sum(count[x] > 0 for x in w), n, round(sum(log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for r in rows)
-    assert sorted((g.doc_id or -1, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == want
-    assert all(g.score <= 0 for g in got) and sum(g.score for g in got) > sum(g.base_score for g in got)
+    want = plain_scores([(r.doc_id, r.text) for r in small.collect()], held)
+    out = fold("doc_id", 7) == 2
+    assert same_scores(lm_rows(lm_score.score(small, out, Scratch(spark, "t"), bits_each=4000)), want)
+    assert same_scores(lm_rows(lm_score.score(small, out, Scratch(spark, "t"), bits_each=4000, shard_tokens=2_000)), want)
+    usual = lm_rows(lm_score.score(small, out, Scratch(spark, "t")))
+    assert same_scores([g[:6] for g in usual], [w[:6] for w in want])
+    assert all(w[6] <= g[6] + 1e-6 <= 1e-5 for g, w in zip(usual, want)) and sum(g[6] for g in usual) < 0.97 * sum(w[6] for w in want)
     assert lm_score.score(docs.limit(0), F.lit(False), Scratch(spark, "t")).count() == 0
-    assert lm_score.score(docs.limit(0), F.lit(False), Scratch(spark, "t"), broadcast_bits=0).count() == 0
-    # a filter that is too large to broadcast gives the same scores
-    far = lm_score.score(small, fold("doc_id", 7) == 2, Scratch(spark, "t"), broadcast_bits=0).collect()
-    key = lambda r: (r.doc_id or -1, r.n_tokens, r.base_score, r.score)
-    assert sorted(map(key, far)) == sorted(map(key, got))
-    many = spark.createDataFrame([(i, f"w{i % 50} v{i % 31} " * 60) for i in range(800)], "doc_id long, text string").repartition(8)
-    near, far = (lm_score.score(many, fold("doc_id", 7) == 2, Scratch(spark, "t"), broadcast_bits=b).collect() for b in (1 << 40, 0))
-    assert sorted(map(key, far)) == sorted(map(key, near))
+    unknown = lm_score.score(small.where("doc_id < 10"), F.lit(True), Scratch(spark, "t")).collect()
+    assert all(r.n_known == r.train_tokens == 0 and r.score == r.base_score == 0 for r in unknown)
+
+
+def test_lm_blocks(spark):
+    """Many blocks and partitions, and a text longer than a block."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(rnd.randint(0, 120)))) for i in range(600)] + [(None, "w1 w2"), (7000, "w1 W2 " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    lm_score.BLOCK_TOKENS = 900
+    try:
+        got = lm_rows(lm_score.score(df, fold("doc_id", 7) == 2, Scratch(spark, "t"), bits_each=4000, shard_tokens=1_500))
+    finally:
+        lm_score.BLOCK_TOKENS = 500_000
+    assert same_scores(got, plain_scores(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2))
 
 
-def test_count_filter():
+def test_count_levels():
     rnd = np.random.default_rng(1)
     h = rnd.integers(0, 2**63, 4000, dtype=np.uint64)
     c = rnd.integers(1, 300, 4000)
-    size = 1 << 17
-    segments = b""
-    for s in range(4):
-        has = lm_score.shard_of(h, 4) == s
-        segments += lm_score.fill_segment(lm_score.shortened(h[has]), c[has], size)
-    f = lm_score.CountFilter(segments, 4, size)
-    ratio = f.counts(h) / c
+    size = 1 << 19
+    data = np.frombuffer(lm_score.fill_segment(lm_score.shortened(h), c, size), np.uint8)
+    read = lambda x: lm_score.level_counts()[lm_score.read_levels(data, lm_score.shortened(x), np.zeros(len(x), np.int64), size)]
+    ratio = read(h) / c
     assert ratio.min() > 0.6 and np.median(np.abs(ratio - 1)) < 0.3
-    assert (f.counts(rnd.integers(0, 2**63, 4000, dtype=np.uint64)) == 0).mean() > 0.9
+    assert (read(rnd.integers(0, 2**63, 4000, dtype=np.uint64)) == 0).mean() > 0.9
 
 
 PAGE = """<!doctype html><html><head><title>No &amp; title</title><style>p{}</style></head><body class="no-sidebar">
