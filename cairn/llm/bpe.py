@@ -3,7 +3,7 @@
 The ids are those of the ``tokenizers`` library. Texts of plain letters, digits and signs with single
 white space are cut into the pre-tokenizer's pieces by byte class in numpy; each distinct piece of a
 block is looked up once, and the library's model encodes the pieces that a worker has not met yet. Any
-other text goes to the library whole.
+other text, and any that holds one of the vocabulary's added tokens, goes to the library.
 """
 
 from __future__ import annotations
@@ -37,18 +37,19 @@ BLOCK = 2 << 20
 
 #: Longer texts are encoded in parts of about so many characters.
 LONG = 2 << 20
-_GAP = re.compile("[a-z] (?=[a-z])")
+#: A letter or digit of any script before white space or a sign: a piece always begins after it.
+_GAP = re.compile(r"[^\W_](?=[ \t\n\r.,;:!?()\u3001\u3002\uff0c\uff01\uff1f\uff1a\uff1b])")
 
 
 def cut_long(text: str) -> list[str]:
-    """Parts that begin at a single space between lower-case letters, which always begins a piece."""
+    """Parts that begin where every vocabulary's pre-tokenizer begins a piece; only a run of letters without an end stays whole."""
     out, at = [], 0
     while len(text) - at > LONG:
         m = _GAP.search(text, at + LONG)
-        if not m:
+        if not m or m.end() == len(text):
             break
-        out.append(text[at : m.start() + 1])
-        at = m.start() + 1
+        out.append(text[at : m.end()])
+        at = m.end()
     return [*out, text[at:]]
 
 
@@ -77,8 +78,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.model._resize_cache(0)  # pieces are kept here instead
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = f"(?i){'|'.join(added)}" if added else None
         self.words = name.startswith("word_")
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
@@ -154,6 +156,8 @@ class Encoder:
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
         odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _DOUBLE))
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added))
         odd = odd.to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         if odd.any():
