@@ -4,7 +4,7 @@ A seed is a fixed mask over consecutive words: the words under its zeros are ign
 its counterpart across substituted words. The hashes of the benchmark's items (in blocks of bounded
 size, each sent to all workers) are met by those of every position of every document. Around a hit,
 document and item are compared word by word along the hit's diagonal; the stretches with at least
-IDENTITY of their words equal count, those on several diagonals (inserted or lost words) together.
+IDENTITY of their words equal count, those on neighbouring diagonals (inserted or lost words) together.
 Items of fewer words than the longest mask have masks of their own, which meet every substitution that
 IDENTITY allows them.
 """
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import fresh
 from .wordvec import ALNUM_SPLIT, mix, split_batches, word_hashes
 
 MASKS = ("111111", "1101010011", "1110010101", "110010111")
@@ -27,6 +28,10 @@ IDENTITY = 0.8
 WORDS = 13
 #: Words of a stretch at least.
 STRETCH = 5
+#: Words that may be inserted or lost between two stretches: so many, or a tenth of the item's.
+SHIFT = 8
+#: Words of an item whose overlap removes a document; shorter ones are reported only.
+ITEM_WORDS = 5
 #: Benchmark words sent to the workers at once.
 BLOCK_WORDS = 1_000_000
 #: Seeds in common that are held at once.
@@ -131,17 +136,23 @@ class Index:
                 end += 1
             k, lo, hi = int(i[at]), int(first[d[at]]), int(first[d[at] + 1])
             item = self.words[self.first[k] : self.first[k + 1]]
-            covered = np.zeros(len(item), bool)
             need = int(np.ceil(IDENTITY * len(item) - 1e-9))
-            for diagonal in g[at:end].tolist():
+            best, last = 0, None
+            covered = np.zeros(len(item), bool)
+            for diagonal in g[at:end].tolist():  # in rising order
+                if last is not None and diagonal - last > max(SHIFT, len(item) // 10):
+                    covered = np.zeros(len(item), bool)  # another place of the document
                 a, b = max(0, lo - diagonal), min(len(item), hi - diagonal)
                 same = h[diagonal + a : diagonal + b] == item[a:b]
-                for x, y in stretches(same, min(STRETCH, need)):
+                found = stretches(same, min(STRETCH, need))
+                for x, y in found:
                     covered[a + x : a + y] |= same[x:y]
-                if covered.all():
+                if found:
+                    best, last = max(best, int(covered.sum())), diagonal
+                if best == len(item):
                     break
-            if covered.sum() >= min(WORDS, need):
-                out[d[at]].append((self.ids[k], int(covered.sum()), len(item)))
+            if best >= min(WORDS, need):
+                out[d[at]].append((self.ids[k], best, len(item)))
             at = end
         return out
 
@@ -186,14 +197,17 @@ def find_overlaps(
 ) -> DataFrame:
     """The columns ``keep`` of every row and its overlaps, by this ``name``: (item_id, matched, item_words) of each item.
 
-    Words are runs of letters and digits, case folded for A-Z. Null and empty texts have no overlaps,
-    nor have null or wordless items; an empty benchmark gives empty lists. Each block of the benchmark
-    is one more pass over the documents.
+    Words are runs of letters and digits, case folded for A-Z; punctuation of any script parts them. Null
+    and empty texts have no overlaps, nor have null or wordless items; an empty benchmark gives empty
+    lists. Repeated rows each have theirs, repeated items each count. Very long texts are compared whole.
+    Columns of docs may have any names but ``name``. Each block of the benchmark is one more pass over the
+    documents.
     """
     spark = docs.sparkSession
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    text, result = fresh("text", keep), fresh("found", keep)
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     empty = "array<struct<item_id:bigint,matched:int,item_words:int>>"
-    out = out.withColumn("__found", F.array().cast(empty))
+    out = out.withColumn(result, F.array().cast(empty))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("item_words", pa.int32())]))
     n = len(keep)
     for block in _blocks(benchmark, id_col, text_col):
@@ -208,7 +222,7 @@ def find_overlaps(
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both, kind)], names=b.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__found").alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{result}`").alias(name))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

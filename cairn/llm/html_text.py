@@ -3,11 +3,14 @@
 Paragraphs pass points for their length and commas to their ancestors, fewer the farther up; a
 container's points are discounted by the share of its text inside links. The best container, widened
 to the article that holds it, is kept with those of its siblings that score well or read as prose.
+Names of classes and ids take boxes beside the article out before that, but never most of a page's
+prose: where nothing is left, the page is scored again without them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -18,11 +21,12 @@ from .wordvec import split_batches
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # quotes delimit only at the start of a value; one that is never closed is part of the value
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>]*)))?", re.S)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
@@ -51,50 +55,63 @@ UNLIKELY = frozenset(
     "trending widget widgets".split()
 )
 LIKELY = frozenset("article articlebody body column content entry main maincontent page post prose story text".split())
+#: first and last words of class names that tell a state or a category, not what the box is
+STATE_FIRST = frozenset("no has have with without is not hide show category cat tag hentry post postid page type status format js layout".split())
+STATE_LAST = frozenset("closed open opened enabled disabled on off none fixed sticky visible count active".split())
 SCORED = frozenset("p pre td blockquote li dd section div article main h2 h3 h4 figcaption".split())
+#: names of an article element that is beside the main one
+ASIDE = frozenset({"comment", "reply", "related"})
+#: A box with more of the page's prose than this is not dropped by its name if it holds the headline.
+MOST = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "size", "linked", "score", "dropped")
+    __slots__ = ("tag", "attrs", "kids", "up", "size", "linked", "links", "main", "score", "dropped", "named")
 
     def __init__(self, tag, attrs, up):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list = []
-        self.size = self.linked = 0
-        self.score, self.dropped = 0.0, False
+        self.size = self.linked = self.links = 0
+        self.main = False
+        self.score, self.dropped, self.named = 0.0, False, None
 
 
 def parse(html: str) -> Node:
     """A tree with implied end tags; what cannot be parsed is text."""
     root = Node("html", {}, None)
-    at, top, raw_end = 0, root, {}
-
-    def text(s):
-        if s:
-            top.kids.append(s)
-
-    for_next = _MARKUP.search
-    n = len(html)
+    stack = [root]  # open elements
+    opened: dict[str, list[int]] = {"html": [0]}  # of each tag, where in the stack it is open
+    bounds = [0]  # where elements of BOUND are open
+
+    def last(tag):
+        places = opened.get(tag)
+        return places[-1] if places else -1
+
+    def shut(depth):
+        """Close the elements from this place of the stack on."""
+        while len(stack) > max(1, depth):
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in BOUND:
+                bounds.pop()
+
+    at, n, raw_end = 0, len(html), {}
     while at < n:
-        m = for_next(html, at)
+        m = _MARKUP.search(html, at)
         if not m:
             break
-        text(html[at : m.start()])
+        if m.start() > at:
+            stack[-1].kids.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3].replace("&", "&amp;"))
+                stack[-1].kids.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
         if m[1]:
-            node = top
-            while node is not None and node.tag != tag:
-                if tag not in BOUND and node.tag in BOUND and tag not in ("ul", "ol", "table", "dl"):
-                    node = None
-                    break
-                node = node.up
-            if node is not None and node.up is not None:
-                top = node.up
+            place = last(tag)
+            if place > 0 and (tag in BOUND or tag in ("ul", "ol", "table", "dl") or place >= bounds[-1]):
+                shut(place)
             continue
         attrs = {}
         if m[3]:
@@ -108,33 +125,27 @@ def parse(html: str) -> Node:
             end = raw_end[tag].search(html, at)
             at = end.end() if end else n
             continue
-        if tag in ("html", "body"):
-            if tag == "html":
-                continue
-        if tag in CLOSES_P:
-            node = top
-            while node.tag not in BOUND and node.up is not None:
-                if node.tag == "p":
-                    top = node.up
-                    break
-                node = node.up
+        if tag == "html":
+            continue
+        if tag in CLOSES_P and last("p") > bounds[-1]:
+            shut(last("p"))
         if tag in IMPLIED:
-            shut, stop = IMPLIED[tag]
-            node = top
-            while node.up is not None and node.tag not in stop:
-                if node.tag in shut:
-                    top = node.up
-                node = node.up
-        if tag == "body" or tag in BOUND and top.tag == "head":
-            while top.up is not None and top.tag == "head":
-                top = top.up
-        if tag == "p" and top.tag == "head":
-            top = top.up
-        node = Node(tag, attrs, top)
-        top.kids.append(node)
+            closed, stop = IMPLIED[tag]
+            least = max(map(last, stop))
+            inside = [opened[c][bisect_right(opened[c], least)] for c in closed if last(c) > least]
+            if inside:
+                shut(min(inside))
+        if stack[-1].tag == "head" and (tag in BOUND or tag == "p"):
+            shut(len(stack) - 1)
+        node = Node(tag, attrs, stack[-1])
+        stack[-1].kids.append(node)
         if tag not in VOID:
-            top = node
-    text(html[at:])
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BOUND:
+                bounds.append(len(stack))
+            stack.append(node)
+    if at < n:
+        stack[-1].kids.append(html[at:])
     return root
 
 
@@ -148,7 +159,14 @@ def _in_order(root: Node) -> list[Node]:
 
 
 def _named(node: Node) -> set:
-    return set(_WORDS.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
+    """Words of the class names and the id, without those that tell a state."""
+    if node.named is None:
+        node.named = set()
+        for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if len(words) < 2 or words[0] not in STATE_FIRST and words[-1] not in STATE_LAST:
+                node.named.update(words)
+    return node.named
 
 
 def _hidden(a: dict) -> bool:
@@ -191,34 +209,50 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     order = _in_order(root)
     for node in reversed(order):  # sizes of text, whole and in links, from below
-        size = linked = 0
+        size = linked = links = 0
+        main = node.tag in ("h1", "main") or node.tag == "article" and not _named(node) & ASIDE
         for k in node.kids:
             if k.__class__ is str:
                 size += len(k.strip())
             else:
                 size += k.size
                 linked += k.linked
-        node.size, node.linked = size, size if node.tag == "a" else linked
-    total = root.size or 1
+                links += k.links
+                main = main or k.main
+        node.size, node.linked, node.links, node.main = size, size if node.tag == "a" else linked, links + (node.tag == "a"), main
+    text = ""
+    for names in ("all", "small", "none"):
+        text = _scored_text(root, order, names)
+        if len(text) >= min(100, 0.05 * root.size):
+            break
+    return text
+
+
+def _drop(order: list[Node], total: int, names: str) -> None:
+    """Mark what is no article. names: the boxes that their names may drop - all, those without most of the page's text, or none."""
     for node in order:
         a = node.attrs
+        node.dropped, node.score = False, 0.0
         if node.tag in ("html", "body"):
             continue
         if node.up is not None and node.up.dropped:
             node.dropped = True
         elif node.tag in DROP_TAGS and not (node.tag in ("form", "label", "fieldset") and node.size > 0.6 * total):
             node.dropped = True
-        elif a and node.tag not in ("article", "main"):
-            if _hidden(a) or a.get("role", "").lower() in DROP_ROLES:
-                node.dropped = True
-            elif "class" in a or "id" in a:
-                names = _named(node)
-                if names & UNLIKELY and not (names & LIKELY and node.size > 0.5 * total):
-                    node.dropped = True
         elif a and _hidden(a):
             node.dropped = True
-        if not node.dropped and node.tag == "article" and node.up is not None and _named(node) & {"comment", "reply", "related"}:
+        elif a and node.tag not in ("article", "main"):
+            most = node.size > MOST * total
+            if a.get("role", "").lower() in DROP_ROLES:
+                node.dropped = True
+            elif names != "none" and _named(node) & UNLIKELY and not (most and (names == "small" or node.main or _named(node) & LIKELY)):
+                node.dropped = True
+        if not node.dropped and node.tag == "article" and node.up is not None and _named(node) & ASIDE:
             node.dropped = True
+
+
+def _scored_text(root: Node, order: list[Node], names: str) -> str:
+    _drop(order, root.size or 1, names)
     # points
     scored: dict[int, Node] = {}
     for node in order:
@@ -255,7 +289,7 @@ def main_text(html: str | None) -> str:
     # lists and boxes that are mostly links are no prose
     for node in _in_order(around):
         if node is not around and node.tag in ("ul", "ol", "div", "section", "table", "p") and node.size:
-            if node.linked > 0.6 * node.size and _links(node) >= 2:
+            if node.linked > 0.6 * node.size and node.links >= 2:
                 node.dropped = True
     keep = [around]
     if around.up is not None and around.tag not in ("article", "main", "body", "html"):
@@ -287,14 +321,12 @@ def _own_text(node: Node) -> list[str]:
     return out
 
 
-def _links(node: Node) -> int:
-    return sum(x.tag == "a" for x in _in_order(node))
-
-
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Add the main text of every page, and n_chars, its code points.
 
     A null or empty html gives an empty text. Columns of the output's names are replaced; others stay.
+    Repeated rows each have their text. A page is parsed whole, in time that follows its length; an empty
+    table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (out_col, "n_chars", html_col)]
     rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias("__html"))

@@ -3,7 +3,8 @@
 Pieces as long as a sequence stand alone. The rest are dealt at random to groups of bounded size and
 each group is packed by best fit in decreasing order; then items of the emptiest bins are moved, and
 exchanged one for one or two for one, into fuller bins, which raises the sum of squared fills until
-bins are empty. A group wastes less than a bin or two, so the loss does not grow with the input.
+bins are empty. The pieces of the bins that groups leave underfull, one or two a group, are then packed
+once more together, so that what is lost does not follow the number of groups.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ from .scratch import Scratch
 from .wordvec import split_batches
 
 GROUP = 20_000
+#: Trials of the local search for each group, and items of a source bin that are paired. Both bound time
+#: only: where they end the search early, pieces stay where best fit has put them, and none is lost.
 SEARCH = 60_000
+PAIRED = 24
+#: A bin with less of its room used is packed again with those of other groups.
+FULL = 0.98
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -49,7 +55,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, search: int = SEARCH) -> list[list[int]]:
     """Empty bins by moves and exchanges, each of which raises the sum of squared fills.
 
-    search: trials at most. A group at its lower bound is left as it is.
+    search: trials at most; two-for-one exchanges take the source's PAIRED largest items. A group at its
+    lower bound is left as it is.
     """
     least = -(-int(sizes.sum()) // capacity)
     where = np.empty(len(sizes), np.int64)
@@ -83,7 +90,7 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, search: int
                 break
         # exchanges: one or two of the source's items for one item of a fuller bin
         if not done and len(pool):
-            gives = [(i,) for i in items] + [(i, j) for k, i in enumerate(items[:24]) for j in items[k + 1 : 24]]
+            gives = [(i,) for i in items] + [(i, j) for k, i in enumerate(items[:PAIRED]) for j in items[k + 1 : PAIRED]]
             best = None
             for give in gives:
                 search -= 1
@@ -177,14 +184,26 @@ def pack_documents(
     whole = pieces.where(F.col("length") == length).select(
         "*", (-1 - row).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    dealt = short.withColumn("row", row).withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = dealt.groupBy("pack_group").applyInArrow(
-        _pack(length),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-    )
+    packed = _packed(short, groups, length)
+    if groups > 1:
+        packed = scratch.table(packed, "packed")
+        loose = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < FULL * length)
+        loose = scratch.table(loose.select("sequence_id"), "loose")  # a few for each group
+        again = packed.join(loose, "sequence_id", "left_semi").drop("sequence_id", "offset")
+        again = _packed(again, max(1, -(-again.count() // group)), length)
+        again = again.withColumn("sequence_id", F.col("sequence_id") + F.lit(1 << 62))
+        packed = packed.join(loose, "sequence_id", "left_anti").unionByName(again)
     return whole.unionByName(packed)
 
 
+def _packed(pieces: DataFrame, groups: int, length: int) -> DataFrame:
+    row = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("row", row).withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return dealt.groupBy("pack_group").applyInArrow(
+        _pack(length), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

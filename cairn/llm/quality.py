@@ -66,15 +66,16 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _score(model, rate: float):
+def _score(model, rate: float, text: int):
+    """Replace the text, which is the last column, number ``text``, by the log-likelihood ratio."""
     base = np.log(rate / (1 - rate))
 
     def run(batches):
-        for b in split_batches(batches, b_text := 3):
-            x = features(b.column(b_text))
+        for b in split_batches(batches, text):
+            x = features(b.column(text))
             ratio = np.clip(logits(x, model) - base, -20, 20)
             ratio[~x.any(1)] = 0.0
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ratio)], names=["doc_id", "host", "path", "llr"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:text], pa.array(ratio)], names=[*b.schema.names[:text], "llr"])
 
     return run
 
@@ -106,28 +107,30 @@ def judge(
     path: Column | None = None,
     sample: int = SAMPLE,
     keep: float = KEEP,
+    whole: bool = False,
 ) -> DataFrame:
     """doc_id, host, path, llr, site_prior, quality (posterior, 0 to 1), kept, for every row.
 
-    host and path default to the columns source and lang (a null is the site ''). Empty and null texts
-    have no evidence: their posterior is their site's. Repeated rows count as rows of their site.
-    Empty tables give no rows.
+    host and path default to the columns source and lang (a null is the site ''). whole: also doc, a struct
+    of all columns of docs, so that rows are decided on as such, whatever their ids. Empty and null texts
+    have no evidence: their posterior is their site's. Repeated rows count as rows of their site. Very long
+    texts are measured whole. Empty tables give no rows.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model, rate = fit(docs, labels, sample)
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),
+        *carried, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"),
     )
-    scored = scratch.table(
-        rows.mapInArrow(_score(model, rate), "doc_id long, host string, path string, llr double"), "evidence"
-    )
+    schema = rows.drop("text").schema.add("llr", "double")
+    scored = scratch.table(rows.mapInArrow(_score(model, rate, len(schema) - 1), schema), "evidence")
     return posterior(scored, rate, scratch, keep)
 
 
 def posterior(scored: DataFrame, rate: float, scratch: Scratch, keep: float = KEEP) -> DataFrame:
-    """Combine (doc_id, host, path, llr) with the sites' posteriors; ``rate`` is the classifier's base rate."""
+    """Combine (host, path, llr) of every row with the sites' posteriors; ``rate`` is the classifier's base rate. Other columns stay."""
     base = float(np.log(rate / (1 - rate)))
     p = 1 / (1 + F.exp(-(F.col("llr") + F.lit(base))))
     scored = scored.withColumn("p", p)
@@ -158,7 +161,8 @@ def posterior(scored: DataFrame, rate: float, scratch: Scratch, keep: float = KE
     out = out.withColumn("site_prior", prior)
     odds = F.col("llr") + F.log(F.col("site_prior") / (1 - F.col("site_prior")))
     out = out.withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "host", "path", "llr", "site_prior", "quality", (F.col("quality") >= keep).alias("kept"))
+    out = out.withColumn("kept", F.col("quality") >= keep)
+    return out.select(*[c for c in scored.columns if c != "p"], "site_prior", "quality", "kept")
 
 
 def _from_spread(mean: float, spread: float) -> float:

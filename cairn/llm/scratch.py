@@ -1,13 +1,14 @@
 """Shared scratch space: tables that cut lineage survive lost executors.
 
-The folder is ``spark.checkpoint.dir`` of the session, which every executor can reach.
-Only where that is unset (tests, a laptop) a folder of our own is made and set.
+The folder is ``spark.checkpoint.dir`` of the session, which every executor can reach. Only in local
+mode a folder of our own is made and set where that is unset; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -22,6 +25,30 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not among those taken, whatever their case."""
+    taken = {c.lower() for c in taken}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleaned():
+    """Delete the tables that are made inside, but for those of scratch spaces that were there before."""
+    made: list[Scratch] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for s in made:
+            s.close()
+
+
 class Scratch:
     """Tables of one run, under a folder with a fresh name."""
 
@@ -29,6 +56,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/cairn-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -43,7 +72,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.cairn_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(t.cairn_path)
+
+    def close(self) -> None:
+        """Delete all tables of this run."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: accents and homoglyphs to plain letters, digits and signs that stand for
-letters likewise, all else to spaces. The lexicon holds words and word beginnings that mark toxic
+Texts are folded first: accents and homoglyphs of either case to plain letters, digits and signs that
+stand for letters in a word likewise; invisible characters go, numbers and all else become spaces. The lexicon holds words and word beginnings that mark toxic
 documents among labelled ones, weighted by their log odds, beside a few common insults for where
 labels are too few to say. Matches inside exception phrases do not count. The sum of the weights, as
 such and over the length, gives the score by a logistic curve fitted on other labelled documents than
@@ -20,12 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import fit_logistic, fold, logits, sample_ids
+from .scratch import fresh
 from .wordvec import split_batches
 
 SAMPLE = 30_000
 THRESHOLD = 0.3
-#: Lexicon entries, at most, and the least weight of one.
+#: Lexicon entries, at most (the strongest), and the least weight of one. They bound the model, as the
+#: sample of labelled rows does; every text is matched whole against all of them.
 ENTRIES, LEAST_WEIGHT = 5_000, 2.0
+#: Letters of a learned word: shorter ones say too little, longer ones are no words.
+WORD_LETTERS = (3, 39)
+#: Share of the toxic training texts that must hold a pattern, and texts at least.
+SUPPORT, SUPPORT_TEXTS = 0.004, 3
 PREFIXES = (4, 5, 6)
 #: words that count where the labels have nothing on them
 INSULTS = "idiot moron stupid scum loser worthless pathetic disgusting imbecile bastard asshole bitch retard slut whore".split()
@@ -38,7 +44,8 @@ HOMOGLYPHS = (
     "тТτΤ", "t", "υμ", "u", "νѵ", "v", "ԝω", "w", "хХχΧ", "x", "уУγΥ", "y", "ΖᴢᏃ", "z",
 )
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
-_SIGNS = re.compile(r"[@$](?=[^\W\d_])")
+_SIGNS = re.compile(r"[@$](?=[@$]*[^\W\d_])")
+_NUMBER = re.compile(r"(?<![^\W_])\d[\d.,:]*(?![^\W_])")
 
 
 class _Fold(dict):
@@ -48,7 +55,8 @@ class _Fold(dict):
         c = chr(code)
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
         made = "".join(self.get(ord(x), x) for x in base) if base != c else base
-        made = made if made.isalpha() else " " if not unicodedata.combining(c) else ""
+        if not made.isalpha():
+            made = "" if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else " "
         self[code] = made
         return made
 
@@ -63,13 +71,13 @@ def folded(text: str | None) -> str:
         return " "
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
-    return f" {text.lower().translate(_FOLD)} "
+    return f" {_NUMBER.sub(' ', text).translate(_FOLD)} "
 
 
 def patterns(text: str) -> set[str]:
     """The words of a folded text and their beginnings, as patterns."""
     words = set(text.split())
-    out = {f" {w} " for w in words if 2 < len(w) < 40}
+    out = {f" {w} " for w in words if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1]}
     for n in PREFIXES:
         out |= {f" {w[:n]}" for w in words if len(w) > n}
     return out
@@ -141,7 +149,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     counts = toxic.mapInArrow(per_class(None), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     n_toxic = counts.where("pattern = ''").select("n").first()
     n_toxic = n_toxic.n if n_toxic else 0
-    enough = max(3, 0.004 * n_toxic)
+    enough = max(SUPPORT_TEXTS, SUPPORT * n_toxic)
     # of a bounded sample, and only what is frequent in it
     found = {r.pattern: r.n for r in counts.where((F.col("pattern") != "") & (F.col("n") >= enough)).collect()}
     wanted = spark.sparkContext.broadcast(frozenset(found) | {f" {w} " for w in INSULTS})
@@ -161,7 +169,11 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Lexicon and curve from at most ``sample`` labelled documents; every fourth fits the curve."""
+    """Lexicon and curve from at most ``sample`` labelled documents; every fourth fits the curve.
+
+    The lexicon has at most ENTRIES patterns, of words of WORD_LETTERS letters, each in SUPPORT of the toxic
+    texts. Rows with null ids, labels or texts teach nothing; without labels the common insults are left.
+    """
     ids = sample_ids(labels, "toxic", sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = rows.join(F.broadcast(ids), "doc_id").select("target", "part", "text").where("text is not null")
@@ -191,13 +203,13 @@ def score(
 ) -> DataFrame:
     """Add score (0 to 1) and predicted (0 or 1), by these ``names``, to the columns ``keep`` (default doc_id).
 
-    Null and empty texts score as texts without matches. Every row is scored alone, so ties and repeated
-    rows get equal scores.
+    Null and empty texts score as texts without matches; very long ones are matched whole. Every row is
+    scored alone, so ties and repeated rows get equal scores. An empty table gives no rows.
     """
     shared, curve = model
     keep = keep or ["doc_id"]
     n = len(keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(fresh("text", keep)))
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "double").add(names[1], "integer")
 
     def run(batches):

@@ -55,12 +55,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         "host", "path", F.length("suffix").alias("hlen"),
         F.sha2(F.concat("suffix", F.substring(F.col("path"), F.lit(1), F.col("plen"))), 256).alias("digest"),
     ).withColumn("prefix", F.substring("digest", 1, 8))
-    hits = keyed.join(rules, ["prefix", "digest", "hlen"])
+    # the join sees the short prefix only; what meets by chance fails the comparison of digests here
+    met = keyed.join(rules.withColumnRenamed("digest", "whole"), ["prefix", "hlen"])
     rank = F.struct(F.length("rule"), F.col("hlen"), (F.col("verdict") == "block").cast("int"), "rule", "verdict")
-    won = hits.groupBy("host", "path").agg(F.max(rank).alias("won"))
+    won = met.groupBy("host", "path").agg(F.max(F.when(F.col("digest") == F.col("whole"), rank)).alias("won")).where("won is not null")
     won = won.select("host", "path", F.col("won.rule").alias("rule"), F.col("won.verdict").alias("verdict"))
-    out = judged.join(won, ["host", "path"], "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # pages without a host, which may be many, stay out of the join
+    out = judged.where("host <> ''").join(won, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return out.unionByName(judged.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,23 @@ ALNUM_SPLIT = np.zeros(256, bool)
 ALNUM_SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+#: first bytes, and second bytes below them, of non-ASCII characters that are punctuation or blanks: general
+#: and CJK punctuation; of the first also the signs of Latin-1 but for the letters \xAA, \xB5 and \xBA
+_PUNCTUATION = {0xE2: (3, (0x80, 0x81)), 0xE3: (3, (0x80,)), 0xC2: (2, tuple(b for b in range(0x80, 0xC0) if b not in (0xAA, 0xB5, 0xBA)))}
+
+
+def word_bytes(data: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words; for ALNUM_SPLIT, punctuation beyond ASCII parts words too."""
+    word = is_word[data]
+    if is_word is ALNUM_SPLIT:
+        for lead, (size, seconds) in _PUNCTUATION.items():
+            at = np.flatnonzero(data[:-1] == lead)
+            at = at[np.isin(data[at + 1], seconds)]
+            for k in range(size):
+                word[at[at + k < len(data)] + k] = False
+    return word
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -89,20 +106,21 @@ def word_hashes(texts: pa.Array, is_word: np.ndarray = BLANK_SPLIT) -> tuple[np.
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     hashes, begins = [], []
+    words = word_bytes(data, is_word)
     first = np.zeros(len(data) + 1, bool)
     first[off] = True
     at = 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
-        word = is_word[data[at:end]]
+        word = words[at:end]
         if end < len(data):
             gaps = np.flatnonzero(~word | first[at:end])
             if len(gaps) and gaps[-1]:
                 end = at + int(gaps[-1])
             else:  # one word of more than BLOCK bytes
-                more = is_word[data[end:]] & ~first[end:-1]
+                more = words[end:] & ~first[end:-1]
                 end = len(data) if more.all() else end + int(np.argmin(more))
-            word = is_word[data[at:end]]
+            word = words[at:end]
         seg = LOWER[data[at:end]]
         start = word.copy()
         start[1:] &= ~word[:-1] | first[at + 1 : end]
