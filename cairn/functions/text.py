@@ -10,6 +10,12 @@ TOKEN = "[a-z0-9][a-z0-9._-]*"
 GRAPH_TERM = "[a-z0-9][a-z0-9.-]*"
 FNV_BASIS, FNV_PRIME, MASK32 = 2166136261, 16777619, 4294967295
 SAFE_ID = "^[A-Za-z0-9:_#.-]+$"
+#: a word's edge by ASCII alone, which the engine's own mark for it is not
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", EDGE)
 
 
 def _c(x: Column | str) -> Column:
@@ -55,9 +61,8 @@ def squeeze_ends(x: Column | str) -> Column:
 
 
 def clean_text(x: Column | str) -> Column:
-    """White space before a line end goes; three or more line ends are two; ends are trimmed."""
-    t = F.regexp_replace(_c(x), r"[ \t]+\n", "\n")
-    return squeeze_ends(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """White space up to a line end goes, blanks in a row are one, ends are trimmed."""
+    return squeeze_ends(F.regexp_replace(F.regexp_replace(_c(x), r"(?U)\s+\n", "\n"), r"[ \t]{2,}", " "))
 
 
 def norm_label(x: Column | str) -> Column:
@@ -92,16 +97,20 @@ def snippet(x: Column | str, limit: int = 200) -> Column:
 
 
 def clip(x: Column | str, limit: int) -> Column:
-    """Collapsed text cut at ``limit``, at the last space if that is past 60 % of it, with an ellipsis."""
+    """Collapsed text of at most ``limit`` characters: cut at the last space if that is past 60 % of it, with an ellipsis."""
     t = collapse(x)
-    cut = F.substring(t, 1, limit)
+    cut = F.substring(t, 1, limit - 1)
     last = F.length(cut) - F.instr(F.reverse(cut), " ")  # characters before the last space
     whole = F.when((F.instr(cut, " ") > 0) & (last > limit * 0.6), F.left(cut, last)).otherwise(cut)
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(whole), F.lit("…")))
 
 
 def drop_command(x: Column | str) -> Column:
-    return F.regexp_replace(_c(x), r"^\s*/[A-Za-z][A-Za-z0-9_-]*\s*", "")
+    """Without a leading /command; the command's name if nothing follows it."""
+    t = collapse(x)
+    whole = r"(?is)^/([a-z0-9-]+)(?:\s+(.+))?$"
+    rest = F.regexp_extract(t, whole, 2)
+    return F.when(t.rlike(whole), F.when(rest != "", rest).otherwise(F.regexp_extract(t, whole, 1))).otherwise(t)
 
 
 def title(x: Column | str) -> Column:
@@ -132,29 +141,34 @@ def strip_html(x: Column | str, tag: str = " ") -> Column:
     return squeeze_ends(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
 
 
-#: shapes of secrets and what replaces them, in this order
-SECRETS = (
-    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
-    (r"sk-[A-Za-z0-9_-]{16,}", "[REDACTED]"),
-    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED]"),
-    (r"AKIA[0-9A-Z]{16}", "[REDACTED]"),
-    (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*", "[REDACTED]"),
-    (r'(?i)("(?:api_?key|token|secret|password|access_token|refresh_token)"\s*:\s*)"[^"]*"', '$1"[REDACTED]"'),
-    (r"(?i)\b(api_?key|token|secret|password|access_token|refresh_token)=[^&\s]+", "$1=[REDACTED]"),
+# fixed values: shapes of secrets, names of secret fields, and what replaces them, in this order
+REDACTED = "[redacted]"
+SECRET_SHAPES = (
+    r"\bgh[oprsu]_[A-Za-z0-9]{10,}\b",
+    r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{10,}=*",
+    r"\bglpat-[A-Za-z0-9_-]{10,}\b",
+    r"(?i)\bgl[oa]a-[A-Za-z0-9_-]{10,}\b",
+    r"\b(sk|xai)-[A-Za-z0-9_-]{10,}\b",
+)
+SECRET_KEYS = "access_token|refresh_token|id_token|client_secret|authorization|api_key|code|device_code"
+SECRET_FIELDS = (
+    (rf'(?i)"({SECRET_KEYS})"\s*:\s*"[^"]{{4,}}"', f'"$1":"{REDACTED}"'),
+    (rf"(?i)\b({SECRET_KEYS})=[^&\s\"'}}\],]{{4,}}", f"$1={REDACTED}"),
 )
 SENSITIVE_KEY = "(?i)(password|secret|token|api_?key|authorization|cookie)"
 
 
 def redact(x: Column | str) -> Column:
+    """Tokens, keys and secret fields replaced."""
     t = _c(x)
-    for pattern, to in SECRETS:
-        t = F.regexp_replace(t, pattern, to)
+    for pattern, to in (*((p, REDACTED) for p in SECRET_SHAPES), *SECRET_FIELDS):
+        t = F.regexp_replace(t, ascii_edges(pattern), to)
     return t
 
 
 def redact_map(m: Column, limit: int = 120) -> Column:
     """Values of sensitive keys are hidden, others redacted and cut."""
-    return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).otherwise(F.substring(redact(v), 1, limit)))
+    return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit(REDACTED)).otherwise(F.substring(redact(v), 1, limit)))
 
 
 def sha256_hex(x: Column | str) -> Column:

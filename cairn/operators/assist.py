@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import urls as U
-from . import graph
+from . import graph, records
 
 
 def rerank(hits: DataFrame, order: DataFrame, k: int) -> DataFrame:
@@ -77,15 +78,41 @@ def split_window(df: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, F.array_join("__l", "\n")).drop("__l").where(F.col(col) != "")
 
 
+# fixed values: function words, names of several words, and signs of tables and lists
+STOPWORDS = (
+    "a an and are as at be but by for from has have he i in is it its may might no not of on or she should so such than that the their then they this "
+    "to was we were which who will with would you"
+).split()
+NAME = r"\b([A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*)+)\b"
+TABLE_SIGN = "[0-9.·…\t]"
+#: a line that is repeated is a running header only if it is as short as this
+HEADER = 80
+
+
 def window_information(df: DataFrame, col: str) -> DataFrame:
-    """Add ``information`` (0 to 1): length, distinct terms, capitalised names, numbers, sentence ends."""
-    n = F.greatest(TX.token_count(col), F.lit(1))
-    part = lambda x, top: F.least(x / top, F.lit(1.0))
+    """Add ``information`` (0 to 1): words a line, names a line, signs of tables, function words, repeated short lines.
+
+    Needs doc_id and window_idx. A short line is repeated if its document has it before, in this window or an
+    earlier one. Lines lose a leading [[id]] and blank ends; a window without lines has none.
+    """
+    squeezed = F.transform(F.split(F.col(col), "\n"), lambda s: TX.squeeze_ends(F.regexp_replace(s, r"^\[\[[^\]]+\]\]\s*", "")))
+    rows = df.withColumn("__lines", F.filter(squeezed, lambda s: s != ""))
+    each = rows.select("doc_id", "window_idx", F.posexplode("__lines").alias("__no", "__line")).withColumn("__line", F.lower("__line"))
+    each = each.where(F.length("__line") <= HEADER)
+    seen = W.partitionBy("doc_id", "__line").orderBy("window_idx", "__no")
+    again = each.withColumn("__k", F.row_number().over(seen)).where("__k > 1").groupBy("doc_id", "window_idx").agg(F.count("*").alias("__again"))
+    rows = rows.join(again, ["doc_id", "window_idx"], "left")
+    lines, n = F.col("__lines"), F.size("__lines")
+    words = F.filter(F.flatten(F.transform(lines, lambda s: F.split(s, r"(?U)\s+"))), lambda w: w != "")
+    chars = F.array_join(lines, "")
+    names = F.aggregate(F.transform(lines, lambda s: F.regexp_count(s, F.lit(TX.ascii_edges(NAME)))), F.lit(0), lambda t, x: t + x)
+    stop = F.size(F.filter(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z']", "").isin(STOPWORDS))) / F.size(words)
+    part = lambda x: F.least(x, F.lit(1.0))
     score = (
-        0.25 * part(F.length(col), 600) + 0.25 * F.size(F.array_distinct(TX.tokens(col))) / n + 0.2 * part(F.regexp_count(col, F.lit(r"\b[A-Z][a-z]{2,}")), 8)
-        + 0.15 * part(F.regexp_count(col, F.lit(r"\d+")), 5) + 0.15 * part(F.regexp_count(col, F.lit(r"[.!?](\s|$)")), 4)
+        0.35 * part(F.size(words) / n / 8) + 0.2 * part(names / n) + 0.2 * (1 - part(F.regexp_count(chars, F.lit(TABLE_SIGN)) / F.length(chars) * 4))
+        + 0.1 * F.when(stop.between(0.15, 0.6), 1.0).otherwise(0.3) + 0.15 * (1 - part(F.coalesce("__again", F.lit(0)) / n))
     )
-    return df.withColumn("information", score)
+    return rows.withColumn("information", F.when(n > 0, score).otherwise(0.0)).drop("__lines", "__again")
 
 
 def low_information(windows: DataFrame, least: float = 0.25) -> DataFrame:
@@ -103,11 +130,31 @@ def budget_prefix(df: DataFrame, order: list[str], size: Column, budget: int, pa
     return df.withColumn("__t", F.sum(size).over(w)).where(F.col("__t") <= budget).drop("__t")
 
 
+# fixed values: what stands for an output that was left out, and marks of outputs that already were
+COMPACTED = "[compacted — important results are in Findings]"
+COMPACTED_IMAGE = "[compacted — earlier captured page frame(s) removed to save context]"
+LEFT_OUT = r"^(\[compacted|\[summary\])"
+
+
 def compaction(messages: DataFrame, budget: int, tail: int = 6) -> DataFrame:
-    """Add ``kept``: the last ``tail`` rows, and before them the newest that fit. messages: conv_id, seq, n."""
-    w = W.partitionBy("conv_id").orderBy(F.desc("seq"))
-    m = messages.withColumn("__r", F.row_number().over(w)).withColumn("__s", F.sum("n").over(w))
-    return m.withColumn("kept", (F.col("__r") <= tail) | (F.col("__s") <= budget)).drop("__r", "__s")
+    """Add ``evicted``: the oldest tool outputs and images, as many as bring a conversation down to the budget.
+
+    messages: conv_id, seq, role, text and, if any, image (boolean). The first row and the last ``tail`` stay,
+    so do outputs that were left out before. Each evicted row is counted as its placeholder from then on.
+    """
+    image = F.col("image") if "image" in messages.columns else F.lit(False)
+    w = W.partitionBy("conv_id")
+    m = messages.withColumns({"__n": F.length("text"), "__i": F.row_number().over(w.orderBy("seq")), "__r": F.row_number().over(w.orderBy(F.desc("seq")))})
+    tool = (F.col("role") == "tool") & ~F.col("text").rlike(LEFT_OUT)
+    picture = (F.col("role") == "user") & image
+    can = (F.col("__i") > 1) & (F.col("__r") > tail) & (tool | picture)
+    saved = F.col("__n") - F.when(tool, len(COMPACTED)).otherwise(len(COMPACTED_IMAGE))
+    m = m.withColumn("__can", can).withColumn("__saved", F.when(can, saved).otherwise(0))
+    before = w.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    m = m.withColumn("__left", F.sum("__n").over(w) - F.coalesce(F.sum("__saved").over(before), F.lit(0)))
+    # the search ends at the first row that finds the conversation within its budget
+    m = m.withColumn("__least", F.min("__left").over(w.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    return m.withColumn("evicted", F.col("__can") & (F.col("__least") > budget)).drop("__n", "__i", "__r", "__can", "__saved", "__left", "__least")
 
 
 def merge_bookmarks(marks: DataFrame) -> DataFrame:
@@ -146,12 +193,35 @@ def community_summary(members: DataFrame, edges: DataFrame, limit: int = 600) ->
     return out.select("community", F.substring(text, 1, limit).alias("summary"))
 
 
-def community_rank(communities: DataFrame, query: str, stopwords: list[str], n: int) -> DataFrame:
-    """Communities by shared terms with the query; with no terms left, in their own order. communities: seq, title, summary."""
-    terms = TX.without(TX.graph_terms(F.lit(query)), stopwords)
-    score = TX.overlap(terms, TX.graph_terms(F.concat_ws(" ", "title", "summary")))
-    c = communities.withColumn("score", F.when(F.size(terms) > 0, score).otherwise(F.lit(0)))
-    return c.orderBy(F.desc("score"), "seq").limit(n)
+# fixed values: words of a query that name no theme
+GLOBAL_TERMS = (
+    "a all an and are collection corpus fit for how in it main notebook of or overview repository summarize summary the theme themes to together what whole with"
+).split()
+
+
+def community_rank(communities: DataFrame, query: str, n: int = 5, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Communities by shared terms with the query, 1 to 12 of them; a query that names no theme gives the first in their own order.
+
+    communities: id, seq, title, summary, node_ids. A title's terms count 4, a summary's 1; of members a label's 3,
+    the aliases' 2, a summary's and a type's 1; of relations inside 2. Communities without any are left out.
+    """
+    n = max(1, min(n, 12))
+    terms = TX.without(TX.tokens(F.lit(query)), GLOBAL_TERMS)
+    hit = lambda c: TX.overlap(TX.tokens(c), terms).cast("long")
+    parts = [communities.select("id", (4 * hit(F.col("title")) + hit(F.col("summary"))).alias("score"))]
+    if nodes is not None:
+        aliases = F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ")
+        worth = 3 * hit(F.col("label")) + 2 * hit(aliases) + hit(F.coalesce("summary", F.lit(""))) + hit(F.coalesce("type", F.lit("")))
+        member = communities.select("id", F.explode(F.array_distinct("node_ids")).alias("node"))
+        parts.append(member.join(nodes.select(F.col("id").alias("node"), worth.alias("score")).where("score > 0"), "node").select("id", "score"))
+        if edges is not None:
+            e = edges.select("src", "dst", (2 * hit(F.col("relation"))).alias("score")).where("score > 0")
+            ends = member.withColumnRenamed("node", "src").join(e, "src")
+            parts.append(ends.join(member.withColumnRenamed("node", "dst"), ["id", "dst"]).select("id", "score"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("score").alias("score"))
+    general = communities.sparkSession.range(1).select(F.size(terms).alias("n")).first().n == 0
+    c = communities.join(every, "id").withColumn("score", F.lit(0).cast("long") if general else F.col("score"))
+    return c.where(F.lit(general) | (F.col("score") > 0)).orderBy(F.desc("score"), "seq").limit(n)
 
 
 def shared_documents(topics: DataFrame) -> DataFrame:
@@ -168,7 +238,7 @@ def topic_graph(chunks: DataFrame, pairs: DataFrame, stopwords: list[str], k: in
     Nearest neighbours, communities by label rounds, keyword titles, links where topics share documents.
     """
     edges = graph.knn(pairs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    com = graph.communities_by_label(graph.label_rounds(edges), least, most)
+    com = graph.communities_by_label(graph.label_propagation(edges), least, most)
     members = com.select("community", F.explode("node_ids").alias("id")).join(chunks, "id")
     words = graph.cluster_keywords(members.select(F.col("community").alias("cluster"), "text"), stopwords).withColumnRenamed("cluster", "community")
     docs = members.groupBy("community").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
@@ -193,7 +263,7 @@ def reset_changed(state: DataFrame, docs: DataFrame, text_col: str) -> DataFrame
 
 def take_batch(frontier: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The next n pending items and the rest."""
-    r = frontier.withColumn("__r", F.row_number().over(W.orderBy(*order)))
+    r = records.ranked(frontier, order, "__r")
     return r.where(F.col("__r") <= n).drop("__r"), r.where(F.col("__r") > n).drop("__r")
 
 
@@ -251,10 +321,32 @@ def next_after_run(once: Column, planned: Column, now: Column) -> Column:
     return F.struct(F.when(ahead, planned).alias("next"), ahead.alias("enabled"))
 
 
-def lesson_score(query: Column, triggers: Column, lesson: Column) -> Column:
-    """Two for each trigger in the query and one for each shared long term."""
-    hits = F.size(F.filter(triggers, lambda t: F.contains(F.lower(query), F.lower(t)) & (t != "")))
-    return 2 * hits + TX.overlap(TX.long_terms(query), TX.long_terms(lesson))
+def lesson_score(task: Column, triggers: Column, origin: Column | None = None, host: Column | None = None) -> Column:
+    """Four if the lesson comes from the active host or a domain above it; two for each trigger in the task, else its long terms that the task has."""
+    clean = F.filter(F.transform(triggers, lambda t: F.lower(TX.squeeze_ends(t))), lambda t: t != "")
+    has = TX.long_terms(task)
+    each = lambda t: F.when(F.contains(F.lower(task), t), 2).otherwise(F.size(F.filter(F.filter(TX.tokens(t), lambda x: F.length(x) > 2), lambda x: F.array_contains(has, x))))
+    score = F.aggregate(F.transform(clean, each), F.lit(0), lambda s, x: s + x)
+    if origin is not None and host is not None:
+        near = (origin != "") & (host != "") & ((host == origin) | host.endswith(F.concat(F.lit("."), origin)))
+        score = score + F.when(near, 4).otherwise(0)
+    return score
+
+
+def relevant_lessons(lessons: DataFrame, task: str, host: str = "", n: int = 3) -> DataFrame:
+    """The n lessons of positive score, then the most used. lessons: id, triggers, origin, uses."""
+    score = lesson_score(F.lit(task), F.col("triggers"), F.coalesce("origin", F.lit("")), F.lit(host))
+    return lessons.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc(F.coalesce("uses", F.lit(0))), "id").limit(n)
+
+
+def similar_lessons(lessons: DataFrame, text: str, triggers: list[str], origin: str | None = None) -> DataFrame:
+    """Lessons that a new one repeats: the same origin with a trigger in common, or half its long terms (two to four) shared."""
+    new = TX.long_terms(F.lit(" ".join([text, *triggers])))
+    known = F.array(*[F.lit(t) for t in triggers]).cast("array<string>")
+    same = (F.col("origin") != "") & (F.col("origin") == F.lit(origin)) & F.exists("triggers", lambda t: F.array_contains(known, F.lower(t)))
+    shared = TX.overlap(new, TX.long_terms(F.concat_ws(" ", "text", F.array_join("triggers", " "))))
+    enough = F.least(F.lit(4), F.greatest(F.lit(2), F.ceil(F.size(new) / 2)))
+    return lessons.where(F.coalesce(same, F.lit(False)) | (shared >= enough))
 
 
 def first_incompatibility(text: Column, rules: list[tuple[str, str]]) -> Column:

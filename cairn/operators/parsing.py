@@ -288,6 +288,25 @@ def settle_run(enabled: Column, busy: Column, ok: Column, needs_approval: Column
     return F.struct(status.alias("status"), said.alias("error"), later.alias("next"))
 
 
+# fixed values: what a run's notification says
+RUN_OK, RUN_APPROVAL, RUN_FAILED = "Open Automations for details.", "Needs your approval for a state-changing step — open Automations to review.", "unknown error"
+
+
+def run_notification(status: Column, error: Column, files: Column) -> Column:
+    """What a finished run tells its owner. files: names of what it has saved, null or empty for nothing."""
+    saved = F.when(F.size(F.coalesce(files, F.array().cast("array<string>"))) > 0, F.concat(F.lit(" Saved to Products: "), F.array_join(files, ", "), F.lit("."))).otherwise("")
+    return (
+        F.when(status == "ok", F.concat(F.lit("Finished."), saved, F.lit(f" {RUN_OK}"))).when(status == "needs_approval", RUN_APPROVAL)
+        .otherwise(F.concat(F.lit("Failed: "), F.coalesce(error, F.lit(RUN_FAILED))))
+    )
+
+
+def task_summary(tasks: DataFrame) -> DataFrame:
+    """Tasks as they are listed: times as ISO texts, those that never were as null. tasks: id, title, prompt, enabled, next_run, last_run, last_status, last_error, recurrence."""
+    iso = lambda c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
+    return tasks.select("id", "title", "prompt", "enabled", iso("next_run"), iso("last_run"), "last_status", "last_error", "recurrence")
+
+
 def older_than(when: Column, now: Column, seconds: int) -> Column:
     return F.unix_micros(now.cast("timestamp")) - F.unix_micros(when.cast("timestamp")) > F.lit(seconds * 1_000_000)
 

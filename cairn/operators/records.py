@@ -38,11 +38,25 @@ def sort_cells(df: DataFrame, column: str, descending: bool = False, *ties: str)
     return df.orderBy(*[k.desc_nulls_last() if descending and i else k.asc_nulls_last() for i, k in enumerate(keys)], *ties)
 
 
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Add each row's place, from 1, in the order of the whole table, without one task that holds all rows.
+
+    Rows are sorted by ranges and written once; a range begins after the rows of those before it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = rows.join(F.broadcast(before.drop("__n")), "__range")
+    return out.withColumn(name, F.col("__in") + F.col("__before") + 1).drop("__at", "__range", "__in", "__before")
+
+
 def retain(df: DataFrame, n: int, newest: list[Column], partition: list[str] | None = None) -> DataFrame:
     """Add ``kept``: whether a row is among the n newest (of its partition)."""
     if partition:
         return df.withColumn("kept", F.row_number().over(W.partitionBy(*partition).orderBy(*newest)) <= n)
-    return df.withColumn("kept", F.row_number().over(W.orderBy(*newest)) <= n)
+    return ranked(df, newest, "__rank").withColumn("kept", F.col("__rank") <= n).drop("__rank")
 
 
 def first_occurrence(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -90,40 +104,68 @@ def audit_rollup(events: DataFrame, key: str, ts: str, payload: str) -> DataFram
     )
 
 
-def latency_summary(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """min, p50, p95, max, mean; a percentile is the element at floor(p * n) of the sorted values.
+def latency_summary(df: DataFrame, key: list[str], value: str, at: tuple[float, ...] = (0.5, 0.95), percent: bool = False) -> DataFrame:
+    """n, min, the percentiles ``at`` (p50, p95), max and mean; a percentile is the element at floor(p * n) of the sorted values.
 
-    By rank windows, so no group is gathered in one value.
+    percent: ``at`` is out of 100. Equal values are counted before they are sorted, and the sort of a key's
+    values is dealt out by ranges of the whole table, so a key that holds most rows is no single task.
     """
-    w = W.partitionBy(*key)
-    r = df.where(F.col(value).isNotNull()).withColumns(
-        {"__i": F.row_number().over(w.orderBy(value)) - 1, "__n": F.count("*").over(w)}
-    )
-    at = lambda p: F.max(F.when(F.col("__i") == F.least(F.floor(F.lit(p) * F.col("__n")), F.col("__n") - 1), F.col(value)))
-    return r.groupBy(*key).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"), F.avg(value).alias("mean")
-    )
+    at = tuple(p / 100 for p in at) if percent else at
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("__c"))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = counts.orderBy(*key, value).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sums = rows.groupBy(*key, "__range").agg(F.sum("__c").alias("__s"))  # a row for each key and partition
+    before = sums.withColumns({
+        "__before": F.coalesce(F.sum("__s").over(W.partitionBy(*key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "__n": F.sum("__s").over(W.partitionBy(*key)),
+    }).drop("__s")
+    rows = rows.join(before, [*key, "__range"])
+    inner = W.partitionBy(*key, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__hi", F.col("__before") + F.sum("__c").over(inner))  # places before __hi hold this value or a smaller one
+    place = lambda p: F.least(F.floor(F.lit(p) * F.col("__n")), F.col("__n") - 1)
+    nth = lambda p: F.min(F.when(F.col("__hi") > place(p), F.col(value)))
+    return rows.groupBy(*key).agg(
+        F.first("__n").alias("n"), F.min(value).alias("min"), *[nth(p).alias(f"p{round(100 * p)}") for p in at], F.max(value).alias("max"),
+        (F.sum(F.col(value) * F.col("__c")) / F.first("__n")).alias("mean"),
+    )
 
 
 def in_cooldown(last: Column, now: Column, minutes: int = 60) -> Column:
     return last.isNotNull() & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp")) < minutes * 60_000_000)
 
 
-#: fixed values: levels of trust from least to most, and what each kind of action needs
-TRUST = ["untrusted", "personal", "team", "official"]
-READ_ONLY, WRITES, DANGEROUS = "read", "write", "dangerous"
+# fixed values: kinds of action from least to most control, levels of trust from least to most
+ACTIONS = ["read", "low_risk_write", "external_comms", "record_modification", "destructive", "financial_legal"]
+TRUST = ["public", "community", "verified", "enterprise", "local"]
+
+
+def _rank(x: Column, names: list[str]) -> Column:
+    return F.coalesce(F.array_position(F.array(*[F.lit(t) for t in names]), x), F.lit(0)) - 1
 
 
 def trust_rank(level: Column) -> Column:
-    return F.greatest(F.array_position(F.array(*[F.lit(t) for t in TRUST]), level) - 1, F.lit(0))
+    """Place in TRUST; unknown and missing levels have the lowest."""
+    return F.greatest(_rank(level, TRUST), F.lit(0))
+
+
+def trusted(level: Column) -> Column:
+    return trust_rank(level) >= TRUST.index("enterprise")
+
 
+def policy(action: Column, trust: Column, attended: Column, capability: Column, approved: Column, blocked: Column) -> Column:
+    """The first rule that matches decides: deny, needs_approval or allow.
 
-def policy(action: Column, trust: Column, unattended: Column, blocked: Column) -> Column:
-    """First rule that matches decides: deny, needs_approval or allow."""
-    rank = trust_rank(trust)
+    capability: the tool comes from one; approved: for this session; blocked: never unattended. Financial acts
+    are denied, unattended runs only read, approval does not reach past record changes, reads of capabilities
+    that are not trusted need approval, drafts are allowed, all else needs approval.
+    """
+    low = capability & ~trusted(trust)
+    alone = F.when(blocked | (action != "read") | low, "deny").otherwise("allow")
     return (
-        F.when(blocked, "deny").when(action == READ_ONLY, "allow").when((action == DANGEROUS) & unattended, "deny")
-        .when(action == DANGEROUS, "needs_approval").when(unattended & (rank < 2), "deny").when(rank >= 2, "allow").otherwise("needs_approval")
+        F.when(action == "financial_legal", "deny").when(~attended, alone)
+        .when(approved & (_rank(action, ACTIONS) <= ACTIONS.index("record_modification")), "allow")
+        .when(action == "read", F.when(low, "needs_approval").otherwise("allow"))
+        .when(action == "low_risk_write", "allow").otherwise("needs_approval")
     )
 
 
@@ -151,11 +193,9 @@ def term_rank(df: DataFrame, terms: list[str], text: Column, ties: list[str], n:
 
 def frontier_add(seen: DataFrame, found: DataFrame, key: str, order: list[str], depth: int, cap: int) -> DataFrame:
     """Found items not seen, within depth, once each, at most cap in all."""
-    room = F.lit(cap) - F.col("__seen")
+    room = max(0, cap - seen.count())
     fresh = first_occurrence(found.where(F.col("depth") <= depth).join(seen.select(key), key, "left_anti"), [key], order)
-    fresh = fresh.crossJoin(F.broadcast(seen.agg(F.count("*").alias("__seen"))))
-    ranked = fresh.withColumn("__r", F.row_number().over(W.orderBy(*order)))
-    return ranked.where(F.col("__r") <= room).drop("__r", "__seen")
+    return fresh.orderBy(*order).limit(room)
 
 
 def crawl(seeds: DataFrame, links: DataFrame, depth: int, cap: int) -> DataFrame:
@@ -179,26 +219,59 @@ def repair_pairs(messages: DataFrame) -> DataFrame:
     return messages.withColumn("seq", F.col("seq").cast("double")).select(lost.columns).unionByName(lost)
 
 
-def next_run(kind: Column, now: Column, minutes: Column, at: Column, weekday: Column) -> Column:
-    """Next time of an interval, daily or weekly task; ``at`` is HH:MM in the session's zone, Sunday is 0."""
+def next_run(kind: Column, now: Column, minutes: Column, at: Column, weekdays: Column) -> Column:
+    """Next time of an interval, daily or weekly task, else null.
+
+    at: strict HH:MM in the session's zone; weekdays: an array, Sunday is 0, others than 0 to 6 are ignored.
+    An interval is of whole minutes, one at least.
+    """
     ok = at.rlike(r"^([01]\d|2[0-3]):[0-5]\d$")
     day = F.to_date(now)
     on = lambda d: F.try_to_timestamp(F.concat(d.cast("string"), F.lit(" "), at), F.lit("yyyy-MM-dd HH:mm"))
     daily = F.when(on(day) > now, on(day)).otherwise(on(F.date_add(day, 1)))
-    wait = F.pmod(weekday - (F.dayofweek(day) - 1), F.lit(7)).cast("int")
-    week = on(F.date_add(day, wait))
-    weekly = F.when(week > now, week).otherwise(on(F.date_add(day, wait + 7)))
-    every = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + minutes.cast("long") * 60_000_000)
+    week = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.date_add(day, k))
+    week = F.filter(week, lambda d: F.array_contains(weekdays.cast("array<int>"), F.dayofweek(d) - 1))
+    weekly = F.try_element_at(F.filter(F.transform(week, on), lambda t: t > now), F.lit(1))
+    whole = F.floor(minutes.cast("double"))
+    every = F.when(whole >= 1, F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + whole * 60_000_000))
     return F.when(kind == "interval", every).when((kind == "daily") & ok, daily).when((kind == "weekly") & ok, weekly)
 
 
-def auth_state(status: Column, text: Column, has_password: Column) -> Column:
-    """blocked, auth_required, unknown or authenticated; the first rule that matches."""
-    t = F.lower(text)
+# fixed values: patterns of login pages and hosts of identity providers
+LOGIN_URL = r"(?i)(login|log-in|signin|sign-in|sign_in|logon|sso|oauth|saml|account/login)"
+LOGIN_TEXT = (
+    r"(?i)(sign in to continue|log in to continue|please sign in|please log in|session (has )?expired|authentication required|you must (sign|log) in)"
+)
+LOGIN_TITLE = r"(?i)(sign in|log in|login|authenticate)"
+PROVIDERS = (
+    (r"(?i)accounts\.google\.com", "Google"),
+    (r"(?i)login\.microsoftonline\.com|login\.live\.com", "Microsoft"),
+    (r"(?i)\.okta\.com", "Okta"),
+    (r"(?i)\.auth0\.com", "Auth0"),
+    (r"(?i)\.onelogin\.com", "OneLogin"),
+    (r"(?i)\.pingidentity\.com|\.pingone\.", "Ping Identity"),
+    (r"(?i)id\.atlassian\.com", "Atlassian"),
+)
+
+
+def provider(url: Column) -> Column:
+    """The identity provider whose host a URL has, else null."""
+    out = F.when(url.rlike(PROVIDERS[0][0]), PROVIDERS[0][1])
+    for pattern, name in PROVIDERS[1:]:
+        out = out.when(url.rlike(pattern), name)
+    return out
+
+
+def auth_state(status: Column, url: Column, title: Column, text: Column, password: Column, form: Column) -> Column:
+    """blocked, auth_required, unknown or authenticated of an extracted page.
+
+    A password field, a login form or a provider's host is enough; a text that asks to sign in needs a URL or
+    title that says so too. A page of less than 50 characters is unknown.
+    """
+    asks = F.substring(text, 1, 5000).rlike(LOGIN_TEXT) & (url.rlike(LOGIN_URL) | title.rlike(LOGIN_TITLE))
     return (
-        F.when((status == 403) | t.rlike("access denied|forbidden|captcha"), "blocked")
-        .when((status == 401) | has_password | t.rlike("sign in|log in|login required"), "auth_required")
-        .when(F.length(F.trim(t)) == 0, "unknown").otherwise("authenticated")
+        F.when(status.isin("blocked", "unsupported"), "blocked").when(password | form | provider(url).isNotNull() | asks, "auth_required")
+        .when(F.length(text) < 50, "unknown").otherwise("authenticated")
     )
 
 

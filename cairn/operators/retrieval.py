@@ -74,25 +74,36 @@ def fuse(ranked: list[DataFrame], rrf_k: int = RRF_K) -> DataFrame:
     return every.groupBy("item").agg(F.sum(1 / (F.lit(float(rrf_k)) + F.col("rank"))).alias("score"))
 
 
+def clamp_k(k: int) -> int:
+    """Results that a caller may ask for."""
+    return min(20, max(1, k))
+
+
+def candidate_size(k: int) -> int:
+    """Candidates that are ranked again for k results."""
+    return max(20, 3 * k)
+
+
 def pool_size(k: int) -> int:
     return max(10 * k, 50)
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Column, k: int = 10, *, id_col="doc_id", text_col="text",
-           vec_id="vec_id", vec_col="embedding", extra: list[DataFrame] | None = None) -> DataFrame:
-    """item, rank, score: dense and lexical ranks fused, with further ranked lists if given."""
+           vec_id="vec_id", vec_col="embedding", extra: list[DataFrame] | None = None, index=None) -> DataFrame:
+    """item, rank, score: dense and lexical ranks fused, with further ranked lists if given. index: a stored one of the chunks."""
     pool = pool_size(k)
-    lists = [top(dense(vectors, query_vector, vec_id, vec_col), pool), top(bm25(chunks, query, id_col, text_col), pool), *(extra or [])]
+    lexical = index.search(query) if index else bm25(chunks, query, id_col, text_col)
+    lists = [top(dense(vectors, query_vector, vec_id, vec_col), pool), top(lexical, pool), *(extra or [])]
     return top(fuse(lists), k)
 
 
-def multi_hybrid(chunks: DataFrame, vectors: DataFrame, variants: list[tuple[str, Column]], k: int = 10, **cols) -> DataFrame:
-    """All variants' dense and lexical lists in one fusion."""
+def multi_hybrid(chunks: DataFrame, vectors: DataFrame, variants: list[tuple[str, Column]], k: int = 10, *, extra: list[DataFrame] | None = None, index=None, **cols) -> DataFrame:
+    """All variants' dense and lexical lists, and further ones if given, in one fusion."""
     pool = pool_size(k)
-    lists = []
+    lists = list(extra or [])
     for text, vector in variants:
         lists.append(top(dense(vectors, vector, cols.get("vec_id", "vec_id"), cols.get("vec_col", "embedding")), pool))
-        lists.append(top(bm25(chunks, text, cols.get("id_col", "doc_id"), cols.get("text_col", "text")), pool))
+        lists.append(top(index.search(text) if index else bm25(chunks, text, cols.get("id_col", "doc_id"), cols.get("text_col", "text")), pool))
     return top(fuse(lists), k)
 
 
@@ -119,20 +130,25 @@ def scale_array(scales: DataFrame) -> DataFrame:
     return scales.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "scale"))), lambda x: x.scale).alias("scale"))
 
 
+# fixed values: words of a query that say nothing of its coverage
+QUERY_STOPWORDS = "a an and are as at be by for from how in is it of on or the to what when where which who with".split()
+
+
 def confidence(hits: DataFrame, query: str, graph: bool = False, top_n: int = 6) -> DataFrame:
-    """One row: share of query terms in the best hits, distinct sources, and whether retrieval is strong.
+    """One row: level (strong, weak, empty), share of query terms in the best hit, distinct documents, whether the graph supports it.
 
     hits: rank, text, url, name.
     """
-    terms = TX.long_terms(F.lit(query))
+    terms = TX.without(TX.long_terms(F.lit(query)), QUERY_STOPWORDS)
     best = hits.where(F.col("rank") <= top_n)
     share = F.size(F.array_intersect(terms, TX.tokens("text"))) / F.greatest(F.size(terms), F.lit(1))
     out = best.agg(
-        F.coalesce(F.max(share), F.lit(0.0)).alias("coverage"),
+        F.count("*").alias("n"), F.coalesce(F.max(share), F.lit(0.0)).alias("coverage"),
         F.countDistinct(F.coalesce(F.nullif("url", F.lit("")), F.col("name"))).alias("sources"),
-    )
+    )
     strong = (F.col("coverage") >= 0.6) | (F.lit(graph) & (F.col("coverage") >= 0.3))
-    return out.withColumn("strong", strong)
+    level = F.when(F.col("n") == 0, "empty").when(strong, "strong").otherwise("weak")
+    return out.select(level.alias("level"), "coverage", "sources", (F.lit(graph) & (F.col("n") > 0)).alias("graph"))
 
 
 def evaluate(cases: DataFrame, rankings: DataFrame, k: int) -> DataFrame:

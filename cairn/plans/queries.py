@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import assist, chunking, graph, memory, parsing, records, retrieval
-from ..session import table
+from ..operators.keyword_index import KeywordIndex, read_or_build
+from ..session import checkpoint_root, spread, table
 from ..sources import readers
 from ..streaming import streams
 
@@ -67,16 +71,35 @@ def _ranked(name: str, k: int) -> str:
     return f"SELECT item, row_number() OVER (ORDER BY score DESC, item) AS rank FROM {name} QUALIFY rank <= {k}"
 
 
+def _index(spark, sf):
+    """The stored keyword index of documents: built on first use, read after that."""
+    return read_or_build(spark, f"{sf}/documents.parquet", "doc_id", "text")
+
+
 @query(f"WITH {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY term")
 def term_statistics(spark, sf):
     """Document and collection frequency of every token."""
-    post = retrieval.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, sf).statistics()
 
 
 @query(f"WITH {_POST}, {_bm25_sql('b', QUERY)} SELECT item, round(score, 6) AS score FROM b")
 def bm25_scores(spark, sf):
-    return retrieval.bm25(table(spark, sf, "documents"), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
+    return _index(spark, sf).search(QUERY).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_POST}, {_bm25_sql('b', QUERY)} SELECT item, round(score, 6) AS score FROM b")
+def bm25_unindexed(spark, sf):
+    """The same scores in one scan, for tables without an index."""
+    return retrieval.bm25(spread(table(spark, sf, "documents")), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_POST}, {_bm25_sql('b', OTHER)} SELECT item, round(score, 6) AS score FROM b")
+def bm25_extended(spark, sf):
+    """An index of one part that is extended by the other ranks like one of the whole."""
+    docs = table(spark, sf, "documents")
+    root = f"{checkpoint_root(spark)}/extended-{uuid.uuid4().hex[:12]}"
+    index = KeywordIndex(spark, root).build(docs.where("doc_id % 3 = 0"), "doc_id", "text").extend(docs.where("doc_id % 3 <> 0"), "doc_id", "text")
+    return index.search(OTHER).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_dense_sql('d', QUERY_ID)} SELECT item, round(score, 6) AS score FROM d")
@@ -96,7 +119,7 @@ SELECT rank, item, round(r.score, 6) AS score, left(text, 80) AS head FROM r LEF
 def hybrid_search(spark, sf):
     """The ten best documents by fused dense and lexical ranks (vec_id stands for doc_id)."""
     docs = table(spark, sf, "documents")
-    hits = retrieval.hybrid(docs, table(spark, sf, "embeddings"), QUERY, _vector(spark, sf, QUERY_ID), 10)
+    hits = retrieval.hybrid(docs, table(spark, sf, "embeddings"), QUERY, _vector(spark, sf, QUERY_ID), 10, index=_index(spark, sf))
     out = hits.join(docs, hits.item == docs.doc_id, "left")
     return out.select("rank", "item", F.round("score", 6).alias("score"), F.substring("text", 1, 80).alias("head"))
 
@@ -108,7 +131,7 @@ def hybrid_search(spark, sf):
 def multi_query_search(spark, sf):
     docs = table(spark, sf, "documents")
     variants = [(QUERY, _vector(spark, sf, QUERY_ID)), (OTHER, _vector(spark, sf, 11))]
-    hits = retrieval.multi_hybrid(docs, table(spark, sf, "embeddings"), variants, 10)
+    hits = retrieval.multi_hybrid(docs, table(spark, sf, "embeddings"), variants, 10, index=_index(spark, sf))
     out = hits.join(docs, hits.item == docs.doc_id, "left")
     return out.select("rank", "item", F.round("score", 6).alias("score"), F.substring("text", 1, 80).alias("head"))
 
@@ -167,17 +190,24 @@ def pages_of_host(spark, sf):
 _COLLAPSE = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
-def _clip_sql(x: str, n: int) -> str:
-    t = _COLLAPSE.format(x=x)
-    cut = f"left({t}, {n})"
+def _clip_sql(t: str, n: int) -> str:
+    """t: a collapsed text."""
+    cut = f"left({t}, {n - 1})"
     last = f"(length({cut}) - strpos(reverse({cut}), ' '))"
     return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(CASE WHEN strpos({cut}, ' ') > 0 AND {last} > {n} * 0.6 THEN left({cut}, {last}) ELSE {cut} END) || '…' END"
 
 
-@query(f"SELECT conv_id, turn, {_clip_sql('text', 60)} AS title, {_clip_sql('text', 120)} AS preview, {_clip_sql('text', 240)} AS summary FROM conversations")
+_SAID = "CASE WHEN turn = 1 THEN '/find-it ' || text WHEN turn = 2 THEN ' /research ' ELSE text END"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, {_COLLAPSE.format(x=_SAID)} AS t FROM conversations),
+d AS (SELECT *, CASE WHEN regexp_matches(t, '^/[a-z0-9-]+(\s+.+)?$', 'is') THEN coalesce(nullif(regexp_extract(t, '^/[a-z0-9-]+\s+(.+)$', 1, 'is'), ''), regexp_extract(t, '^/([a-z0-9-]+)', 1, 'i')) ELSE t END AS u FROM c)
+SELECT conv_id, turn, {_clip_sql('u', 60)} AS title, {_clip_sql('t', 120)} AS preview, {_clip_sql('t', 240)} AS summary FROM d""")
 def conversation_titles(spark, sf):
+    """Titles of messages, some of them commands with and without an argument."""
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", TX.title("text").alias("title"), TX.preview("text").alias("preview"), TX.summary("text").alias("summary"))
+    said = F.when(c.turn == 1, F.concat(F.lit("/find-it "), "text")).when(c.turn == 2, " /research ").otherwise(c.text)
+    return c.select("conv_id", "turn", TX.title(said).alias("title"), TX.preview(said).alias("preview"), TX.summary(said).alias("summary"))
 
 
 @query(r"""SELECT conv_id, turn, lower(sha256(text)) AS sha, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS label,
@@ -260,21 +290,23 @@ def quiet_sessions(spark, sf):
     return streams.quiet_sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours")
 
 
-_MEM = """m AS (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'superseded' ELSE 'active' END AS status, 0.5 + (event_id % 50) / 100.0 AS confidence, (event_id % 11) / 10.0 AS durability, ts AS last_confirmed_at FROM events),
-f AS (SELECT *, confidence * pow(0.5, greatest(0, epoch_us(TIMESTAMP '2024-03-01') - epoch_us(last_confirmed_at)) / 86400000000.0 / (14 + 350 * durability)) AS effective FROM m)"""
+_MEM = """m AS (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'superseded' WHEN event_id % 7 = 0 THEN 'stale' ELSE 'active' END AS status, 0.5 + (event_id % 50) / 100.0 AS confidence,
+CASE WHEN event_id % 13 <> 0 THEN (event_id % 11) / 10.0 END AS durability, ts AS last_confirmed_at, ts + to_hours((event_id % 100)::INT) AS updated_at,
+CASE WHEN event_id % 3 > 0 THEN 'p' || event_id % 3 END AS project FROM events),
+f AS (SELECT *, confidence * pow(0.5, greatest(0, epoch_us(TIMESTAMP '2024-03-01') - epoch_us(last_confirmed_at)) / 86400000000.0 / (14 + 350 * coalesce(durability, 0.5))) AS effective FROM m)"""
 
 
 def _memory(spark, sf) -> DataFrame:
-    """Events as memory nodes."""
-    return table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 == 0, "superseded").otherwise("active").alias("status"),
-        (0.5 + (F.col("event_id") % 50) / 100).alias("confidence"), ((F.col("event_id") % 11) / 10).alias("durability"),
-        F.col("ts").alias("last_confirmed_at"),
+    """Events as memory nodes; some have no durability."""
+    e = table(spark, sf, "events")
+    return e.select(
+        F.col("event_id").alias("id"), F.when(e.event_id % 9 == 0, "superseded").when(e.event_id % 7 == 0, "stale").otherwise("active").alias("status"),
+        (0.5 + (e.event_id % 50) / 100).alias("confidence"), F.when(e.event_id % 13 != 0, (e.event_id % 11) / 10).alias("durability"),
+        F.col("ts").alias("last_confirmed_at"), F.timestamp_add("HOUR", (e.event_id % 100).cast("int"), F.col("ts")).alias("updated_at"),
+        F.when(e.event_id % 3 > 0, F.concat(F.lit("p"), (e.event_id % 3).cast("string"))).alias("project"),
     )
 
 
-
-
 def _now():
     return F.lit("2024-03-01 00:00:00").cast("timestamp")
 
@@ -284,22 +316,57 @@ def memory_decay(spark, sf):
     return memory.decay_sweep(_memory(spark, sf), _now()).select("id", F.round("effective", 6).alias("effective"), "status")
 
 
-@query(f"WITH {_MEM} SELECT id, round(durability * effective, 6) AS core_score FROM f WHERE status = 'active' ORDER BY durability * effective DESC, id LIMIT 15")
+@query("""SELECT event_id AS id, CASE WHEN user_id % 2 = 0 AND 0.3 + (event_id % 7) / 10.0 * pow(0.5, 0) >= 0 AND (0.3 + (event_id % 7) / 10.0) * pow(0.5, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 86400000000.0 / 189) < 0.35 THEN 'stale'
+WHEN user_id % 2 = 0 THEN 'active' ELSE 'superseded' END AS status FROM events""")
+def memory_edge_decay(spark, sf):
+    """Edges have no durability and fade as medium ones do."""
+    e = table(spark, sf, "events")
+    edges = e.select(F.col("event_id").alias("id"), F.when(e.user_id % 2 == 0, "active").otherwise("superseded").alias("status"), (0.3 + (e.event_id % 7) / 10).alias("confidence"), F.col("ts").alias("last_confirmed_at"))
+    return memory.decay_sweep(edges, _now()).select("id", "status")
+
+
+@query(f"WITH {_MEM} SELECT id, round(durability * effective, 6) AS core_score FROM f WHERE status <> 'superseded' AND (project IS NULL OR project = 'p1') ORDER BY durability * effective DESC NULLS LAST, id LIMIT 15")
 def memory_core(spark, sf):
-    return memory.core(_memory(spark, sf), _now()).select("id", F.round("core_score", 6).alias("core_score"))
+    return memory.core(_memory(spark, sf), _now(), project="p1").select("id", F.round("core_score", 6).alias("core_score"))
 
 
-@query(f"WITH {_MEM} SELECT id, row_number() OVER (ORDER BY (status = 'superseded')::INT, durability DESC, last_confirmed_at DESC, id) <= 500 AS kept FROM m")
+def _prune_sql(n: str) -> str:
+    order = "status <> 'superseded', CASE WHEN status = 'superseded' THEN updated_at END, CASE WHEN status <> 'superseded' THEN durability END NULLS FIRST, CASE WHEN status <> 'superseded' THEN last_confirmed_at END, id"
+    return f"WITH {_MEM}, c AS (SELECT count(*) AS n FROM m) SELECT id, row_number() OVER (ORDER BY {order}) > n - {n} AS kept FROM m, c"
+
+
+@query(_prune_sql("500"))
 def memory_prune(spark, sf):
+    """Far past the cap: all superseded nodes go, then the least durable."""
     return memory.prune(_memory(spark, sf), 500).select("id", "kept")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'deny' WHEN event_type = 'view' THEN 'allow' WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'deny' WHEN event_type = 'purchase' THEN 'needs_approval'
-WHEN user_id % 2 = 0 AND user_id % 4 < 2 THEN 'deny' WHEN user_id % 4 >= 2 THEN 'allow' ELSE 'needs_approval' END AS decision FROM events""")
+@query(_prune_sql("(n - n // 20)"))
+def memory_prune_superseded(spark, sf):
+    """Little past the cap: only superseded nodes go, those that changed longest ago."""
+    m = _memory(spark, sf)
+    n = m.count()
+    return memory.prune(m, n - n // 20).select("id", "kept")
+
+
+@query(f"""WITH {_MEM}, e AS (SELECT event_id AS id, event_id AS src, (event_id * 7) % (SELECT count(*) FROM events) AS dst, ts AS last_confirmed_at FROM events), a AS (SELECT id FROM m WHERE status <> 'superseded')
+SELECT e.id FROM e WHERE src IN (FROM a) AND dst IN (FROM a) ORDER BY last_confirmed_at DESC, e.id LIMIT 700""")
+def memory_prune_edges(spark, sf):
+    e = table(spark, sf, "events")
+    edges = e.select(F.col("event_id").alias("id"), F.col("event_id").alias("src"), (F.col("event_id") * 7 % F.lit(e.count())).alias("dst"), F.col("ts").alias("last_confirmed_at"))
+    return memory.prune_edges(edges, _memory(spark, sf).withColumn("kept", F.col("status") != "superseded"), 700).select("id")
+
+
+@query("""WITH t AS (SELECT event_id, user_id, (event_id % 6)::INT AS a, (event_id % 7)::INT AS t, user_id % 2 = 0 AS attended, event_type = 'view' AS capability, user_id % 5 = 0 AS approved, event_id % 13 = 0 AS blocked FROM events)
+SELECT event_id, CASE WHEN a = 5 THEN 'deny' WHEN NOT attended AND (blocked OR a > 0 OR (capability AND t NOT IN (3, 4))) THEN 'deny' WHEN NOT attended THEN 'allow' WHEN approved AND a <= 3 THEN 'allow'
+WHEN a = 0 AND capability AND t NOT IN (3, 4) THEN 'needs_approval' WHEN a <= 1 THEN 'allow' ELSE 'needs_approval' END AS decision FROM t""")
 def policy_decisions(spark, sf):
-    action = F.when(F.col("event_type") == "view", records.READ_ONLY).when(F.col("event_type") == "purchase", records.DANGEROUS).otherwise(records.WRITES)
-    trust = F.element_at(F.array(*[F.lit(t) for t in records.TRUST]), (F.col("user_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", records.policy(action, trust, F.col("user_id") % 2 == 0, F.col("event_id") % 13 == 0).alias("decision"))
+    """Every class of action at every trust, known, unknown and missing, attended and not."""
+    e = table(spark, sf, "events")
+    action = F.element_at(F.array(*[F.lit(a) for a in records.ACTIONS]), (e.event_id % 6 + 1).cast("int"))
+    trust = F.element_at(F.array(*[F.lit(t) for t in [*records.TRUST, "odd", None]]), (e.event_id % 7 + 1).cast("int"))
+    d = records.policy(action, trust, e.user_id % 2 == 0, e.event_type == "view", e.user_id % 5 == 0, e.event_id % 13 == 0)
+    return e.select("event_id", d.alias("decision"))
 
 
 @query("""WITH e AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
@@ -323,20 +390,32 @@ def cluster_keywords(spark, sf):
     return graph.cluster_keywords(m, ["the", "and"]).select("cluster", F.array_join("keywords", " ").alias("keywords"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 90 MINUTE
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 90 MINUTE END
 WHEN o_orderkey % 3 = 1 THEN CASE WHEN date_trunc('day', o_orderdate) + INTERVAL 570 MINUTE > o_orderdate THEN date_trunc('day', o_orderdate) + INTERVAL 570 MINUTE ELSE date_trunc('day', o_orderdate) + INTERVAL 2010 MINUTE END
-ELSE (SELECT min(x) FROM (SELECT date_trunc('day', o_orderdate) + to_days(i::INT) + INTERVAL 570 MINUTE AS x FROM range(0, 8) t(i)) WHERE x > o_orderdate AND dayofweek(x) = o_orderkey % 7) END AS next_run FROM orders""")
+ELSE (SELECT min(x) FROM (SELECT date_trunc('day', o_orderdate) + to_days(i::INT) + INTERVAL 570 MINUTE AS x FROM range(0, 8) t(i)) WHERE x > o_orderdate AND dayofweek(x) IN (o_orderkey % 9, (o_orderkey + 3) % 9)) END AS next_run FROM orders""")
 def next_runs(spark, sf):
-    kind = F.element_at(F.array(F.lit("interval"), F.lit("daily"), F.lit("weekly")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    at = records.next_run(kind, F.col("o_orderdate").cast("timestamp"), F.lit(90), F.lit("09:30"), (F.col("o_orderkey") % 7).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", at.alias("next_run"))
+    """Intervals, some of them below a minute, days, and weeks on two days, some of which are no weekdays."""
+    o = table(spark, sf, "orders")
+    kind = F.element_at(F.array(F.lit("interval"), F.lit("daily"), F.lit("weekly")), (o.o_orderkey % 3 + 1).cast("int"))
+    days = F.array(o.o_orderkey % 9, (o.o_orderkey + 3) % 9)
+    at = records.next_run(kind, o.o_orderdate.cast("timestamp"), F.when(o.o_orderkey % 2 == 0, 90.7).otherwise(0.5), F.lit("09:30"), days)
+    return o.select("o_orderkey", at.alias("next_run"))
 
 
-@query(r"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(props || ' token=abc' || event_id || ' Bearer ' || repeat('x', 12), '(?i)bearer\s+[A-Za-z0-9._~+/=-]{8,}', 'Bearer [REDACTED]', 'g'),
-'(?i)("(?:api_?key|token|secret|password|access_token|refresh_token)"\s*:\s*)"[^"]*"', '\1"[REDACTED]"', 'g'), '(?i)\b(api_?key|token|secret|password|access_token|refresh_token)=[^&\s]+', '\1=[REDACTED]', 'g') AS clean FROM events""")
+_SECRETS = """[' token=abc', ' ghp_0123456789abcdef', ' Bearer abcdefghij.klm==', ' glpat-abcdefghij1', ' gloa-abcdefghijk', ' xai-abcdefghijkl and sk-short', ' {"id_token": "abcdef", "code":"abc"}', ' client_secret=abcdef&code=123456', ' DEVICE_CODE=abcd}']"""
+_KEYS = TX.SECRET_KEYS
+
+
+@query(rf"""WITH e AS (SELECT event_id, props || ({_SECRETS})[event_id % 9 + 1] AS x FROM events),
+a AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\bgh[oprsu]_[A-Za-z0-9]{{10,}}\b', '[redacted]', 'g'), '\bBearer\s+[A-Za-z0-9._~+/-]{{10,}}=*', '[redacted]', 'gi'),
+'\bglpat-[A-Za-z0-9_-]{{10,}}\b', '[redacted]', 'g'), '\bgl[oa]a-[A-Za-z0-9_-]{{10,}}\b', '[redacted]', 'gi'), '\b(sk|xai)-[A-Za-z0-9_-]{{10,}}\b', '[redacted]', 'g') AS x FROM e)
+SELECT event_id, regexp_replace(regexp_replace(x, '"({_KEYS})"\s*:\s*"[^"]{{4,}}"', '"\1":"[redacted]"', 'gi'), '\b({_KEYS})=[^&\s"''}}\],]{{4,}}', '\1=[redacted]', 'gi') AS clean FROM a""")
 def redaction(spark, sf):
-    x = F.concat(F.col("props"), F.lit(" token=abc"), F.col("event_id").cast("string"), F.lit(" Bearer "), F.lit("x" * 12))
-    return table(spark, sf, "events").select("event_id", TX.redact(x).alias("clean"))
+    """Tokens of every known shape, secret fields of JSON and forms, and what only looks like them."""
+    e = table(spark, sf, "events")
+    said = [x[1:-1] for x in re.findall(r"'[^']*'", _SECRETS)]
+    x = F.concat("props", F.element_at(F.array(*[F.lit(t) for t in said]), (e.event_id % 9 + 1).cast("int")))
+    return e.select("event_id", TX.redact(x).alias("clean"))
 
 
 @query("""WITH h AS (SELECT user_id, event_type FROM events WHERE value > 50 EXCEPT SELECT user_id, event_type FROM events WHERE value < 1) SELECT user_id, event_type FROM h""")
@@ -353,19 +432,44 @@ def term_rank(spark, sf):
     return out.select("c_custkey", F.col("hits").cast("long").alias("hits"))
 
 
-@query()
+def _cut_sql(pos: str) -> str:
+    """Where a chunk that begins at ``pos`` ends."""
+    window = f"substr(t, {pos} + 1, 800)"
+    last = lambda mark: f"(799 - strpos(reverse({window}), {mark}))"  # noqa: E731  (of a mark of two characters)
+    return f"""CASE WHEN {pos} + 800 >= length(t) THEN length(t) WHEN contains({window}, E'\\n\\n') AND {last("E'\\n\\n'")} > 400 THEN {pos} + {last("E'\\n\\n'")}
+WHEN contains({window}, '. ') AND {last("' .'")} > 400 THEN {pos} + {last("' .'")} + 1 ELSE {pos} + 800 END"""
+
+
+_CHUNKS = rf"""clean AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+\n', E'\n', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+steps AS (SELECT doc_id, t, 0 AS pos, {_cut_sql("0")} AS stop FROM clean WHERE t <> ''
+  UNION ALL SELECT doc_id, t, pos, {_cut_sql("pos")} AS stop FROM (SELECT doc_id, t, greatest(stop - 120, pos + 1) AS pos FROM steps WHERE stop < length(t))),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_idx, piece AS text FROM (SELECT doc_id, pos, regexp_replace(substr(t, pos + 1, stop - pos), '^\s+|\s+$', '', 'g') AS piece FROM steps) WHERE piece <> '')"""
+_SENTENCES = rf"""raw AS (SELECT doc_id, chunk_idx, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+[\])''"`]*\s*|[^.!?]+$')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]*[.!?]+[\])''"`]*\s*|[^.!?]+$'), 1) AS k FROM chunks),
+placed AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id, chunk_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM raw),
+trimmed AS (SELECT doc_id, chunk_idx, k, regexp_replace(s, '^\s+|\s+$', '', 'g') AS text, first + length(s) - length(regexp_replace(s, '^\s+', '')) AS start FROM placed),
+sentences AS (SELECT doc_id, chunk_idx, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY k) - 1 AS sentence_idx, start::BIGINT AS start, (start + length(text))::BIGINT AS "end", text FROM trimmed WHERE text <> '')"""
+_FNV = """left(lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ''), lambda c: ord(c)::BIGINT)),
+lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0'), 6)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_idx, text, doc_id || ':c' || chunk_idx AS chunk_id FROM chunks")
 def document_chunks(spark, sf):
-    return chunking.chunk_table(table(spark, sf, "documents"))
+    return chunking.chunk_table(table(spark, sf, "documents")).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_SENTENCES} SELECT doc_id, chunk_idx, sentence_idx, start, "end", text, doc_id || ':c' || chunk_idx || ':s' || sentence_idx || '#' || {_FNV} AS sentence_id FROM sentences""")
 def document_sentences(spark, sf):
-    return chunking.sentence_table(chunking.chunk_table(table(spark, sf, "documents")))
+    s = chunking.sentence_table(chunking.chunk_table(table(spark, sf, "documents")))
+    return s.withColumns({c: F.col(c).cast("long") for c in ("chunk_idx", "sentence_idx", "start", "end")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_SENTENCES}, n AS (SELECT doc_id, chunk_idx, sentence_idx, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, sentence_idx) AS k, length(text) AS n FROM sentences),
+w AS (SELECT doc_id, chunk_idx, sentence_idx, k, n AS used, 0 AS window_idx FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.chunk_idx, n.sentence_idx, n.k, CASE WHEN w.used + n.n > 2400 THEN n.n ELSE w.used + n.n END, w.window_idx + (w.used + n.n > 2400)::INT FROM w JOIN n ON n.doc_id = w.doc_id AND n.k = w.k + 1)
+SELECT doc_id, chunk_idx, sentence_idx, window_idx::BIGINT AS window_idx FROM w""")
 def sentence_windows(spark, sf):
-    return chunking.pack_windows(chunking.sentence_table(chunking.chunk_table(table(spark, sf, "documents"))), 2400)
+    w = chunking.pack_windows(chunking.sentence_table(chunking.chunk_table(table(spark, sf, "documents"))), 2400)
+    return w.withColumns({c: F.col(c).cast("long") for c in ("chunk_idx", "sentence_idx", "window_idx")})
 
 
 @query()
@@ -374,7 +478,9 @@ def page_contents(spark, sf):
     return p.select("page_id", "url", "title", "text", F.size("links").cast("long").alias("n_links"), F.size("headings").cast("long").alias("n_headings"), "status")
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS id, p_type AS kind, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' '), '[a-z0-9][a-z0-9._-]*'), lambda x: length(x) > 2)) AS terms FROM part),
+e AS (SELECT id, kind, len(terms) AS n, unnest(terms) AS term FROM t), j AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.term = b.term AND a.kind = b.kind AND a.id < b.id GROUP BY ALL)
+SELECT a, b, shared / least(na, nb) AS similarity FROM j WHERE shared / least(na, nb) >= 0.5""")
 def similar_memories(spark, sf):
     """Pairs of parts of one type whose names share half their terms."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("label"), F.lit("").alias("summary"), F.lit("active").alias("status"))
@@ -391,10 +497,20 @@ def budget_prefix(spark, sf):
     return assist.budget_prefix(c, ["turn"], F.col("n"), 600, ["conv_id"])
 
 
-@query(f"""WITH {_WIN} SELECT conv_id, turn, row_number() OVER x <= 2 OR sum(n) OVER x <= 600 AS kept FROM w WINDOW x AS (PARTITION BY conv_id ORDER BY turn DESC)""")
+@query(f"""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role, CASE WHEN turn = 3 THEN '[summary] ' || text ELSE text END AS text, turn % 4 = 2 AS image FROM conversations),
+n AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM r),
+c AS (SELECT *, i > 1 AND r > 2 AND ((role = 'tool' AND NOT starts_with(text, '[compacted') AND NOT starts_with(text, '[summary]')) OR (role = 'user' AND image)) AS can, role = 'tool' AND NOT starts_with(text, '[summary]') AS tool FROM n),
+s AS (SELECT *, CASE WHEN can THEN n - CASE WHEN tool THEN {len(assist.COMPACTED)} ELSE {len(assist.COMPACTED_IMAGE)} END ELSE 0 END AS saved FROM c),
+l AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) - coalesce(sum(saved) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "left" FROM s)
+SELECT conv_id, turn, can AND min("left") OVER (PARTITION BY conv_id ORDER BY turn) > 600 AS evicted FROM l""")
 def compaction(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.length("text").cast("long").alias("n"))
-    return assist.compaction(c, 600, 2).select("conv_id", F.col("seq").alias("turn"), "kept")
+    """The oldest tool outputs and images go until a conversation has 600 characters; the first message and the last two stay."""
+    c = table(spark, sf, "conversations")
+    m = c.select(
+        "conv_id", F.col("turn").alias("seq"), F.when(c.role == "assistant", "tool").otherwise(c.role).alias("role"),
+        F.when(c.turn == 3, F.concat(F.lit("[summary] "), "text")).otherwise(c.text).alias("text"), (c.turn % 4 == 2).alias("image"),
+    )
+    return assist.compaction(m, 600, 2).select("conv_id", F.col("seq").alias("turn"), "evicted")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS id, l_orderkey AS doc FROM lineitem)
@@ -412,10 +528,11 @@ def edges_by_degree(spark, sf):
 
 
 @query("""WITH s AS (SELECT DISTINCT conv_id AS doc_id, turn AS window_idx FROM conversations), d AS (SELECT DISTINCT conv_id AS doc_id, turn AS window_idx FROM conversations WHERE role = 'user')
-SELECT doc_id, count(*) AS selected, count(d.window_idx) AS completed FROM s LEFT JOIN d USING (doc_id, window_idx) GROUP BY doc_id""")
+SELECT doc_id, count(*) AS selected, count(d.window_idx) AS completed, coalesce(string_agg(s.window_idx::VARCHAR, ',' ORDER BY s.window_idx) FILTER (d.window_idx IS NULL), '') AS pending
+FROM s LEFT JOIN d USING (doc_id, window_idx) GROUP BY doc_id""")
 def window_coverage(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("window_idx"), "role")
-    return assist.coverage(c.drop("role"), c.where("role = 'user'").drop("role")).drop("pending")
+    return assist.coverage(c.drop("role"), c.where("role = 'user'").drop("role")).withColumn("pending", F.array_join("pending", ","))
 
 
 @query("""WITH t AS (SELECT p_partkey, lower(p_name) AS x FROM part), k AS (SELECT p_partkey, CASE WHEN x = 'bolt' THEN 0 WHEN starts_with(x, 'bolt') THEN 1 WHEN contains(' ' || x, ' bolt') THEN 2 WHEN contains(x, 'bolt') THEN 3 END AS tier FROM t)
@@ -446,11 +563,24 @@ def topic_graph(spark, sf):
     return topics.select("id", "size", F.array_join("keywords", " ").alias("keywords"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in assist.STOPWORDS)
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS no FROM documents),
+c AS (SELECT doc_id, no // 6 AS window_idx, no, regexp_replace(regexp_replace(line, '^\[\[[^\]]+\]\]\s*', ''), '^\s+|\s+$', '', 'g') AS line FROM l),
+k AS (SELECT *, regexp_split_to_array(line, '\s+') AS words, length(line) <= 80 AND row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY no) > 1 AS again FROM c WHERE line <> ''),
+w AS (SELECT doc_id, window_idx, count(*) AS n, sum(len(words)) AS words, sum(len(regexp_extract_all(line, '\b([A-Z][\w&.''-]*(?:\s+[A-Z][\w&.''-]*)+)\b'))) AS names, sum(len(regexp_extract_all(line, '[0-9.·…\t]'))) AS signs,
+  sum(length(line)) AS chars, sum(len(list_filter(words, lambda x: regexp_replace(lower(x), '[^a-z'']', '', 'g') IN ({_STOP})))) AS stop, sum(again::INT) AS again FROM k GROUP BY ALL),
+x AS (SELECT doc_id, window_idx, 0.35 * least(words / n / 8, 1) + 0.2 * least(names / n, 1) + 0.2 * (1 - least(signs / chars * 4, 1)) + 0.1 * CASE WHEN stop / words BETWEEN 0.15 AND 0.6 THEN 1 ELSE 0.3 END + 0.15 * (1 - least(again / n, 1)) AS i FROM w),
+every AS (SELECT DISTINCT doc_id, window_idx FROM c), y AS (SELECT doc_id, window_idx, round(coalesce(i, 0), 6) AS information FROM every LEFT JOIN x USING (doc_id, window_idx)),
+z AS (SELECT *, information < 0.6 AND window_idx > min(window_idx) OVER d AND window_idx < max(window_idx) OVER d AS can, count(*) OVER d AS n FROM y WINDOW d AS (PARTITION BY doc_id))
+SELECT doc_id, window_idx, information, can AND row_number() OVER (PARTITION BY doc_id, can ORDER BY information, window_idx) <= floor(n * 0.5) AS skipped FROM z""")
 def window_information(spark, sf):
-    chunks = chunking.chunk_table(table(spark, sf, "documents"))
-    w = assist.window_information(chunks.withColumnRenamed("chunk_idx", "window_idx"), "text")
-    return assist.low_information(w.select("doc_id", "window_idx", F.round("information", 6).alias("information")))
+    """Windows of six lines: how much they say, and which are skipped below 0.6."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    w = lines.groupBy("doc_id", F.floor(F.col("no") / 6).alias("window_idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x.line), "\n").alias("text"))
+    w = assist.window_information(w, "text").select("doc_id", "window_idx", F.round("information", 6).alias("information"))
+    return assist.low_information(w, 0.6)
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, text, regexp_split_to_array(trim(text), '\s+') AS w FROM conversations WHERE role = 'user')
@@ -482,3 +612,6 @@ SELECT event_id, user_id FROM h WHERE n <= 20""")
 def recorded_events(spark, sf):
     e = table(spark, sf, "events").withColumn("host", F.concat("event_type", F.lit(".example.com")))
     return parsing.host_events(e, F.lit("click.example.com"), ["ts", "event_id"], ["user_id"], 20).select("event_id", "user_id")
+
+
+from . import rules  # noqa: E402,F401  (registers further queries)

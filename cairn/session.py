@@ -15,13 +15,33 @@ def get_session(master: str | None = None, name: str = "cairn", **conf: str) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's checkpoint folder; one of our own only where it is unset, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's checkpoint folder.
+
+    Only in local mode one of our own is made where none is set; on a cluster its absence is an error.
+    """
+    made = spark.sparkContext.getCheckpointDir()
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if made is None and named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        named = tempfile.mkdtemp(prefix="cairn-")
+    if made is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return (named or made).rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    checkpoint_root(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer splits than there are cores, as a file of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

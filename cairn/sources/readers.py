@@ -15,6 +15,9 @@ from ..functions import urls as U
 PAGE = "page_id long, url string, title string, text string, metadata map<string,string>, links array<struct<href:string,text:string>>, headings array<struct<level:int,text:string>>, status string"
 _NOISE = frozenset("script style noscript template nav footer aside form svg iframe".split())
 _BLOCK = frozenset("p div section article main header li ul ol table tr td th h1 h2 h3 h4 h5 h6 br pre blockquote".split())
+# fixed values: what may hold a page's main content, and the text that it must have more of
+MAIN_TAGS, MAIN_ROLE, MAIN_IDS, MAIN_CLASSES = ("article", "main"), "main", ("content", "main"), ("post-content", "article-body", "content")
+MAIN_LEAST = 200
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -40,6 +43,7 @@ class _Page(HTMLParser):
         self.out, self.title, self.meta, self.links, self.heads = [], "", {}, [], []
         self.stack, self.noise = [], 0
         self.href, self.label, self.head = None, [], None
+        self.open, self.best = [], (0, None, None)  # candidates: depth and first text; the longest: length, first, end
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -52,6 +56,8 @@ class _Page(HTMLParser):
             self.out.append("\n")
         if tag in _VOID:
             return
+        if tag in MAIN_TAGS or a.get("role") == MAIN_ROLE or a.get("id") in MAIN_IDS or set((a.get("class") or "").split()) & set(MAIN_CLASSES):
+            self.open.append((len(self.stack), len(self.out)))
         self.stack.append(tag)
         self.noise += tag in _NOISE
         if tag == "a":
@@ -65,6 +71,7 @@ class _Page(HTMLParser):
         while self.stack:
             t = self.stack.pop()
             self.noise -= t in _NOISE
+            self.shut()
             if t == tag:
                 break
         if tag == "a" and self.href is not None:
@@ -76,6 +83,20 @@ class _Page(HTMLParser):
         if tag in _BLOCK:
             self.out.append("\n")
 
+    def shut(self):
+        """Weigh the candidates that have ended."""
+        while self.open and self.open[-1][0] >= len(self.stack):
+            _, first = self.open.pop()
+            size = len(" ".join("".join(self.out[first:]).split()))
+            if size > self.best[0]:
+                self.best = size, first, len(self.out)
+
+    def main(self):
+        """Text of the longest candidate if it says enough, else of the whole body."""
+        self.stack.clear()
+        self.shut()
+        return self.out[self.best[1] : self.best[2]] if self.best[0] > MAIN_LEAST else self.out
+
     def handle_data(self, data):
         if "title" in self.stack and not self.title:
             self.title = " ".join(data.split())
@@ -98,7 +119,7 @@ def _extract(batches, most_links=100, most_heads=50):
                 p.close()
             except Exception:  # a page that cannot be parsed keeps what was read
                 status = "partial"
-            lines = [" ".join(x.split()) for x in "".join(p.out).split("\n")]
+            lines = [" ".join(x.split()) for x in "".join(p.main()).split("\n")]
             text = "\n".join(x for x in lines if x)
             links = list(dict((h, {"href": h, "text": t}) for h, t in reversed(p.links) if t and h and h.lower().startswith(("http://", "https://"))).values())[::-1][:most_links]
             heads = [{"level": n, "text": t} for n, t in p.heads[:most_heads] if t]
@@ -107,7 +128,7 @@ def _extract(batches, most_links=100, most_heads=50):
 
 
 def pages(df: DataFrame) -> DataFrame:
-    """Title, readable text, metadata, links and headings of pages (page_id, url, html)."""
+    """Title, readable text of the main content, metadata, links and headings of pages (page_id, url, html)."""
     return df.select("page_id", "url", "html").mapInPandas(_extract, PAGE)
 
 

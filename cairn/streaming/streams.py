@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 
 def fire_with_cooldown(events: DataFrame, key: str, ts: str, minutes: int = 60) -> DataFrame:
     """Events that fire: each at least ``minutes`` after the last one that fired for its key.
@@ -66,19 +68,38 @@ def windowed_counts(events: DataFrame, ts: str, width: str, key: str, late: str
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start_ts"), key, "n")
 
 
-def apply_changes(target: str, key: str, compare: list[str]):
-    """A foreachBatch function that merges each batch into a Parquet table of generations.
+def apply_changes(target: str, key: str, compare: list[str], order: str | None = None):
+    """A foreachBatch function that keeps a table of changes in ``target``: each batch adds what is new, changed or removed.
 
-    Each batch writes a new generation beside the last one and is named by the batch, so a repeated
-    batch writes the same generation again.
+    A batch is named by its epoch, so one that is repeated writes the same changes again. Of rows with one key the
+    last by ``order`` counts, else the largest by the compared columns. A row whose column ``removed`` is true
+    takes its key out. Rows that are the same in the compared columns are not written. ``changed_state`` reads it.
     """
-    from ..operators.records import upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        if epoch > 0:
-            rows = upsert(spark.read.parquet(f"{target}/generation={epoch - 1}"), rows, [key])
-        rows.write.mode("overwrite").parquet(f"{target}/generation={epoch}")
+        gone = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in batch.columns else F.lit(False)
+        rows = batch.withColumn("removed", gone)
+        last = F.struct(*([order] if order else []), *compare, "removed")
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), last).alias("r")).select(key, "r.*")
+        before = changed_state(spark, target, key, epoch)
+        if before is None:
+            rows = rows.where("not removed")
+        else:
+            had = before.select(key, F.struct(*compare).alias("__had"))
+            same = F.col("__had").eqNullSafe(F.struct(*compare))
+            rows = rows.join(had, key, "left").where(F.when(F.col("removed"), F.col("__had").isNotNull()).otherwise(F.col("__had").isNull() | ~same)).drop("__had")
+        rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return merge
+
+
+def changed_state(spark, target: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The table that the changes make, of epochs below ``before`` if given; None without any."""
+    epochs = [int(p.rsplit("epoch=", 1)[1]) for p in files.listed(spark, target) if "epoch=" in p]
+    epochs = sorted(e for e in epochs if before is None or e < before)
+    if not epochs:
+        return None
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/epoch={e}" for e in epochs])
+    rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "epoch")]), "epoch").alias("r"))
+    return rows.select(key, "r.*").where("not removed").drop("removed")

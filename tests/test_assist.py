@@ -34,8 +34,11 @@ def test_windows(spark):
     assert [r.skipped for r in assist.low_information(i).orderBy("window_idx").collect()] == [False, True, True, False, False]
     b = spark.createDataFrame([(1, 5), (2, 4), (3, 9), (4, 1)], "k int, n int")
     assert [r.k for r in assist.budget_prefix(b, ["k"], F.col("n"), 10).collect()] == [1, 2]
-    m = spark.createDataFrame([(1, k, 10) for k in range(10)], "conv_id int, seq int, n int")
-    assert assist.compaction(m, 75, 2).where("kept").count() == 7
+    m = spark.createDataFrame([(1, k, "tool" if k % 2 else "user", "x" * 100 if k != 5 else "[summary] " + "x" * 90) for k in range(10)], "conv_id int, seq int, role string, text string")
+    gone = lambda budget: [r.seq for r in assist.compaction(m, budget, 2).where("evicted").orderBy("seq").collect()]
+    assert (gone(1000), gone(999), gone(948), gone(947), gone(946), gone(0)) == ([], [1], [1], [1], [1, 3], [1, 3, 7])
+    image = m.withColumn("image", F.col("seq") == 2)
+    assert [r.seq for r in assist.compaction(image, 0, 2).where("evicted").orderBy("seq").collect()] == [1, 2, 3, 7]
     c = assist.coverage(spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "doc_id int, window_idx int"), spark.createDataFrame([(1, 1)], "doc_id int, window_idx int"))
     assert rows(c) == [(1, 3, 1, [0, 2])]
 
@@ -52,8 +55,12 @@ def test_graphs(spark):
     topics, links = assist.topic_graph(ch, pairs, ["common"])
     assert [(r.id, r.keywords) for r in topics.orderBy("id").collect()] == [("com0", ["word0"]), ("com1", ["word1"])]
     assert rows(links) == [("com0", "com1", 1)]
-    com = spark.createDataFrame([(0, "alpha", ""), (1, "beta", "gamma")], "seq int, title string, summary string")
-    assert assist.community_rank(com, "the gamma", ["the"], 1).first().seq == 1
+    com = spark.createDataFrame([("x", 0, "alpha", "", [1]), ("y", 1, "beta", "gamma", [2]), ("z", 2, "delta", "", [3, 4])], "id string, seq int, title string, summary string, node_ids array<int>")
+    nodes = spark.createDataFrame([(1, "gamma ray", ["g"], "", "a"), (2, "q", [], "", "a"), (3, "r", ["gamma"], "", "a"), (4, "s", [], "", "a")], "id int, label string, aliases array<string>, summary string, type string")
+    links = spark.createDataFrame([(3, 4, "emits gamma"), (1, 2, "gamma")], "src int, dst int, relation string")
+    ranked = lambda q, *more: [(r.id, r.score) for r in assist.community_rank(com, q, 5, *more).collect()]
+    assert ranked("the gamma") == [("y", 1)] and ranked("main themes of the whole") == [("x", 0), ("y", 0), ("z", 0)]
+    assert ranked("the gamma", nodes, links) == [("z", 4), ("x", 3), ("y", 1)] and ranked("none of it here") == []
 
 
 def test_records(spark):
@@ -81,9 +88,9 @@ def test_small(spark):
     now = F.lit("2024-01-01 10:00:00").cast("timestamp")
     r = spark.range(1).select(
         assist.next_after_run(F.lit(False), F.lit("2024-01-02").cast("timestamp"), now).alias("a"), assist.next_after_run(F.lit(True), now, now).alias("b"),
-        assist.lesson_score(F.lit("open the settings page"), F.array(F.lit("Settings"), F.lit("")), F.lit("page settings")).alias("c"),
+        assist.lesson_score(F.lit("open the settings page"), F.array(F.lit("Settings"), F.lit(""), F.lit("page of x")), F.lit("ex.org"), F.lit("a.ex.org")).alias("c"),
         assist.first_incompatibility(F.lit("needs bash"), [("python", "p"), ("bash", "shell")]).alias("d"),
         assist.one_of(F.lit("pink"), ["red"], "grey").alias("e"), assist.map_label(F.lit("PER"), {"PER": "person"}, "other").alias("f"),
         assist.within_limits(F.lit("2024-01-01 09:00:00").cast("timestamp"), now, F.lit(60), F.lit(9), F.lit(5)).alias("g"),
     ).first()
-    assert (r.a.enabled, r.b.enabled, r.b.next, r.c, r.d, r.e, r.f, r.g) == (True, False, None, 4, "shell", "grey", "person", "time")
+    assert (r.a.enabled, r.b.enabled, r.b.next, r.c, r.d, r.e, r.f, r.g) == (True, False, None, 7, "shell", "grey", "person", "time")
