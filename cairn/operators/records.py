@@ -31,13 +31,6 @@ def page(df: DataFrame, n_rows: int, number: int, size: int, *order) -> DataFram
     return df.orderBy(*order).offset(min(max(0, number), last) * size).limit(size)
 
 
-def sort_cells(df: DataFrame, column: str, descending: bool = False, *ties: str) -> DataFrame:
-    """Numbers by value first, then other cells as text."""
-    number = F.col(column).cast("string").try_cast("double")
-    keys = [number.isNull(), number, F.col(column).cast("string")]
-    return df.orderBy(*[k.desc_nulls_last() if descending and i else k.asc_nulls_last() for i, k in enumerate(keys)], *ties)
-
-
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Add each row's place, from 1, in the order of the whole table, without one task that holds all rows.
 

@@ -614,4 +614,4 @@ def recorded_events(spark, sf):
     return parsing.host_events(e, F.lit("click.example.com"), ["ts", "event_id"], ["user_id"], 20).select("event_id", "user_id")
 
 
-from . import rules  # noqa: E402,F401  (registers further queries)
+from . import conditions, rules  # noqa: E402,F401  (register further queries)

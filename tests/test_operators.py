@@ -446,3 +446,31 @@ def test_entity_graph(spark):
     assert nodes.count() == 3 and edges.count() == 3
     typed, told = jobs.enrich(edges.withColumn("text", F.lit("what")), spark.createDataFrame([("c0", "t"), ("c1", "u")], "community string, text string"), lambda t: f" Says {t} ", spark.createDataFrame([("c1",)], "community string"))
     assert {r.relation for r in typed.collect()} == {"says what"} and [(r.community, r.summary) for r in told.collect()] == [("c1", " Says u ")]
+
+
+def test_paged_source(spark):
+    from cairn.sources.paged import paged
+
+    def fetch(conditions, token, size):
+        rows = [(i, f"subject {i % 3}", i * 10) for i in range(137)]
+        for column, name, value in conditions:
+            if (column, name) == ("received", "ge"):
+                rows = [r for r in rows if r[2] >= value]
+            else:
+                raise ValueError(column)
+        at = token or 0
+        return rows[at : at + size], at + size if at + size < len(rows) else None
+
+    mail = paged(spark, "mail_test", "id long, subject string, received long", fetch, [("received", "ge")], 50, 130)
+    assert mail.count() == 130
+    some = mail.where("received >= 1000 and subject = 'subject 1'")
+    assert sorted(r.id for r in some.collect()) == [i for i in range(100, 137) if i % 3 == 1]
+
+
+def test_sorting_cells(spark):
+    from cairn.operators import filters
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["10", "9 apples", "b", "A", None, "-1.5e1", "x1"])], "i int, x string")
+    assert [r.i for r in filters.sorted_by_cell(df, "x", "asc", "i").collect()] == [5, 1, 0, 4, 3, 2, 6]
+    assert [r.i for r in filters.sorted_by_cell(df, "x", "desc", "i").collect()] == [6, 2, 3, 4, 0, 1, 5]
+    assert filters.sorted_by_cell(df, "x", None).count() == 7
