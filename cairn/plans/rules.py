@@ -245,6 +245,17 @@ def quantised_search(spark, sf):
     return z.crossJoin(F.broadcast(one)).select("vec_id", F.round(V.score_quantized(F.col("q"), F.col("aq"), F.col("scale")), 6).alias("score"))  # one row
 
 
+_PLANES = "[" + ", ".join(str([float(x) for x in p]) for p in graph.lsh_planes(64, 7)) + "]"
+
+
+@query(f"""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(list_transform(range(1, 8), lambda b: CASE WHEN list_dot_product(embedding::DOUBLE[], ({_PLANES})[b]::DOUBLE[]) >= 0 THEN 1 << (b - 1) ELSE 0 END))::BIGINT AS sig FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM s a JOIN s b ON a.vec_id < b.vec_id AND bit_count(xor(a.sig, b.sig)) <= 1 WHERE list_cosine_similarity(a.v, b.v) >= 0.3""")
+def bucketed_neighbours(spark, sf):
+    """Pairs of cosine 0.3 in one bucket of seven planes or in buckets one bit apart."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return graph.similar_pairs(v, graph.lsh_candidates(v, 7, 64), 0.3).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 @query("""WITH c AS (SELECT user_id AS id, list(DISTINCT event_id % 40 ORDER BY event_id % 40)[1:5] AS relevant FROM events GROUP BY user_id), r AS (SELECT user_id AS id, list(event_id % 60 ORDER BY event_id)[1:12] AS ranking FROM events WHERE user_id % 4 > 0 GROUP BY user_id),
 j AS (SELECT c.id, relevant, coalesce(ranking, []) AS ranking FROM c LEFT JOIN r USING (id)),
 s AS (SELECT len(list_intersect(list_distinct(ranking[1:5]), relevant)) AS hits, len(relevant) AS n, list_min(list_filter(list_transform(relevant, lambda x: list_position(ranking, x)), lambda p: p > 0)) AS first, len(list_filter(ranking, lambda i: i >= 50)) AS bad FROM j)

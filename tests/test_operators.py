@@ -474,3 +474,19 @@ def test_sorting_cells(spark):
     assert [r.i for r in filters.sorted_by_cell(df, "x", "asc", "i").collect()] == [5, 1, 0, 4, 3, 2, 6]
     assert [r.i for r in filters.sorted_by_cell(df, "x", "desc", "i").collect()] == [6, 2, 3, 4, 0, 1, 5]
     assert filters.sorted_by_cell(df, "x", None).count() == 7
+
+
+def test_buckets(spark):
+    """Near-duplicates meet in buckets, few other pairs do."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.standard_normal((20, 64))
+    rows = [c + rnd.standard_normal(64) * 0.1 for c in centres for _ in range(6)] + list(rnd.standard_normal((800, 64)))
+    u = np.array([r / np.linalg.norm(r) for r in rows])
+    near = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i < j}
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, v array<double>")
+    bits = V.recommended_bits(len(rows))
+    met = {(r.a, r.b) for r in graph.lsh_candidates(df, bits, 64).collect()}
+    assert len(near & met) >= 0.95 * len(near) and len(met) < 0.1 * len(rows) * (len(rows) - 1) / 2
+    assert {(r.a, r.b) for r in graph.similar_pairs(df, graph.lsh_candidates(df, bits, 64), 0.9).collect()} == near & met
