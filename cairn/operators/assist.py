@@ -126,7 +126,9 @@ def low_information(windows: DataFrame, least: float = 0.25) -> DataFrame:
 
 def budget_prefix(df: DataFrame, order: list[str], size: Column, budget: int, partition: list[str] | None = None) -> DataFrame:
     """Rows in order until the next would overflow the budget."""
-    w = (W.partitionBy(*partition) if partition else W.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if not partition:
+        return records.running_total(df, order, size, "__t").where(F.col("__t") <= budget).drop("__t")
+    w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("__t", F.sum(size).over(w)).where(F.col("__t") <= budget).drop("__t")
 
 

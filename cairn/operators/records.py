@@ -31,18 +31,32 @@ def page(df: DataFrame, n_rows: int, number: int, size: int, *order) -> DataFram
     return df.orderBy(*order).offset(min(max(0, number), last) * size).limit(size)
 
 
-def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Add each row's place, from 1, in the order of the whole table, without one task that holds all rows.
-
-    Rows are sorted by ranges and written once; a range begins after the rows of those before it.
-    """
+def _sorted_ranges(df: DataFrame, order: list) -> DataFrame:
+    """Rows sorted by ranges of ``order`` and written once, with the number of their range and their place in it."""
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
-    rows = rows.withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = rows.join(F.broadcast(before.drop("__n")), "__range")
-    return out.withColumn(name, F.col("__in") + F.col("__before") + 1).drop("__at", "__range", "__in", "__before")
+    return rows.withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+
+
+def _before(sums: DataFrame, total: str) -> DataFrame:
+    """__range, __before: the total of the ranges before each; ``sums`` has a row for each partition."""
+    w = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    return F.broadcast(sums.select("__range", F.coalesce(F.sum(total).over(w), F.lit(0)).alias("__before")))
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Add each row's place, from 1, in the order of the whole table, without one task that holds all rows."""
+    rows = _sorted_ranges(df, order)
+    before = _before(rows.groupBy("__range").agg(F.count("*").alias("__n")), "__n")
+    return rows.join(before, "__range").withColumn(name, F.col("__in") + F.col("__before") + 1).drop("__range", "__in", "__before")
+
+
+def running_total(df: DataFrame, order: list, value: Column, name: str = "total") -> DataFrame:
+    """Add the sum of ``value`` up to each row in the order of the whole table, range by range."""
+    rows = _sorted_ranges(df.withColumn("__v", value), order)
+    before = _before(rows.groupBy("__range").agg(F.sum("__v").alias("__n")), "__n")
+    inner = W.partitionBy("__range").orderBy("__in").rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(before, "__range").withColumn(name, F.col("__before") + F.sum("__v").over(inner)).drop("__range", "__in", "__before", "__v")
 
 
 def retain(df: DataFrame, n: int, newest: list[Column], partition: list[str] | None = None) -> DataFrame:

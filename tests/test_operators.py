@@ -109,6 +109,8 @@ def test_ranked(spark):
     got = records.ranked(df, ["g", F.desc("k")], "r").collect()
     assert [(x.g, -x.k) for x in sorted(got, key=lambda x: x.r)] == sorted((x.g, -x.k) for x in got) and sorted(x.r for x in got) == list(range(1, 1001))
     assert records.ranked(df.limit(0), ["k"]).count() == 0
+    total = {r.k: r.t for r in records.running_total(df, [F.desc("k")], F.col("k"), "t").collect()}
+    assert total == {k: sum(range(k, 1000)) for k in range(1000)}
 
 
 def test_spans(spark):
@@ -148,6 +150,8 @@ def test_merge(spark):
     )
     m = graph.merge_nodes(n).first()
     assert (m.label, m.type, m.summary, m.evidence, m.aliases) == ("Alpha  One", "org", "a longer one", ["s1", "s2"], ["A1"])
+    many = spark.range(300).select(F.col("id").alias("seq"), F.lit("x").alias("label"), F.lit("t").alias("type"), F.array(F.concat(F.lit("e"), F.col("id") % 70), F.lit("e0")).alias("evidence"), F.array().cast("array<string>").alias("doc_ids"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("summary"), F.lit("").alias("id"))
+    assert graph.merge_nodes(many).first().evidence == [f"e{k}" for k in range(50)]
     e = spark.createDataFrame([("a", "b", "r", ["x"], 0), ("c", "b", "r", ["y"], 1), ("a", "c", "r", ["z"], 2)], "src string, dst string, relation string, evidence array<string>, seq int")
     into = spark.createDataFrame([("c", "a")], "id string, into string")
     assert [(r.src, r.dst, r.evidence) for r in graph.redirect(e, into).collect()] == [("a", "b", ["x", "y"])]
