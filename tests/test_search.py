@@ -29,8 +29,6 @@ def test_search(spark):
 def test_states(spark):
     j = spark.createDataFrame([("queued", "start"), ("paused", "start"), ("done", "start"), ("running", "pause"), ("running", "cancel"), ("done", "cancel")], "s string, c string")
     assert [r.x for r in j.select(records.job_transition(F.col("s"), F.col("c")).alias("x")).collect()] == ["running", "running", "done", "paused", "cancelled", "done"]
-    a = spark.createDataFrame([(403, "", False), (200, "Please sign in", False), (200, " ", False), (200, "Welcome", False)], "s int, t string, p boolean")
-    assert [r.x for r in a.select(records.auth_state(F.col("s"), F.col("t"), F.col("p")).alias("x")).collect()] == ["blocked", "auth_required", "unknown", "authenticated"]
     c = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     n = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", None)], "key string, value string")
     assert [tuple(r) for r in records.config_diff(c, n).collect()] == [("b", "2", "3")]
