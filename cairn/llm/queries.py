@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embed_dedup, html_text, lm_score, packing, quality, simhash, token_files, toxicity, url_rules
+from . import decontaminate, embed_dedup, fill_middle, filter_audit, html_text, language, lm_score, packing, quality, simhash, token_files, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_url_rules": url_rules.op10_url_rules,
+        "op11_language": language.op11_language,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": url_rules.OP10_SQL}
+    return {"op10_url_rules": url_rules.OP10_SQL, "op12_fill_middle": fill_middle.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
