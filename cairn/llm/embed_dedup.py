@@ -99,7 +99,9 @@ def _encode(kind: str, bits: int):
 
 
 def _table_keys(codes: list[bytes], bits: int, tables: int) -> np.ndarray:
-    m = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+    """Keys from the first bits * tables bits; codes of vectors of other lengths may go on longer."""
+    need = -(-bits * tables // 8)
+    m = np.unpackbits(np.frombuffer(b"".join([c[:need] for c in codes]), np.uint8).reshape(len(codes), need), axis=1, bitorder="little")
     m = m[:, : bits * tables].reshape(len(codes), tables, bits).astype(np.int64)
     return m @ (1 << np.arange(bits, dtype=np.int64))
 
@@ -124,6 +126,11 @@ def _compare(kind: str, bits: int, tables: int, threshold: float):
     """Of rows sorted by (bucket, i, j): per task the links first met in its table."""
 
     def task(rows: list[tuple]):
+        sizes = {len(r[6]) for r in rows}
+        if len(sizes) > 1:  # very long vectors whose buckets' keys agree by chance
+            for size in sorted(sizes):
+                yield from task([r for r in rows if len(r[6]) == size])
+            return
         bucket, i, j = rows[0][:3]
         table = (bucket >> 32) & 0xFFFF
         slot = np.array([r[3] for r in rows])
@@ -197,7 +204,8 @@ def near_duplicates(
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     rows with a null id (component_id null, kept false) or vectors of different lengths. Rows that
-    repeat an id are rows of their own with links among them; in components they are one id.
+    repeat an id are rows of their own with links among them; in components they are one id. Vectors may be of
+    any lengths. Extra columns are not read. An empty table gives no rows.
     """
     element = vectors.schema[vec_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"

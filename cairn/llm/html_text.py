@@ -10,13 +10,14 @@ prose: where nothing is left, the page is scored again without them.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import fresh
 from .wordvec import split_batches
 
 _MARKUP = re.compile(
@@ -29,7 +30,10 @@ _ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
+#: elements whose content is not part of the page's text: read up to their end as text, by nesting, or up to the next of their kind
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+NESTED = frozenset("template svg math".split())
+SINGLE = frozenset("noscript select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table "
@@ -52,7 +56,8 @@ UNLIKELY = frozenset(
     "footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain "
     "overlay pager pagination paywall popup promo promoted promotion recommended related replies reply reviews rss "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar tooltip topbar "
-    "trending widget widgets".split()
+    "trending widget widgets alert alerts announcement cta donate donation feedback infobar interstitial livechat optin poll rating "
+    "ratings respond response responses snackbar survey toast".split()
 )
 LIKELY = frozenset("article articlebody body column content entry main maincontent page post prose story text".split())
 #: first and last words of class names that tell a state or a category, not what the box is
@@ -65,6 +70,47 @@ ASIDE = frozenset({"comment", "reply", "related"})
 MOST = 0.5
 
 
+_BLOCK_START = re.compile(r"<(?:%s)(?=[\s/>])" % "|".join(sorted(BLOCK - {"option", "legend", "caption"})), re.I)
+
+
+class _Ends:
+    """Where the content of an element that is no text ends. The tags of a name are matched once, when it is first met."""
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {}
+
+    def _matched(self, tag: str) -> dict[int, int] | list[tuple[int, int]]:
+        tags = re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", self.html, re.I)
+        if tag in RAW:
+            return [m.span() for m in tags if m[1]]
+        matched: dict[int, int] = {}
+        open_: list[int] = []
+        for m in tags:
+            if not m[1]:
+                if tag in SINGLE:
+                    open_.clear()
+                if not m[0].endswith("/>"):
+                    open_.append(m.start())
+            elif open_:
+                matched[open_.pop()] = m.end()
+        return matched
+
+    def after(self, tag: str, start: int, at: int) -> int:
+        """For a start tag from start to at. An element that is never closed ends where the next block begins; a script and a style with the page."""
+        if tag not in self.known:
+            self.known[tag] = self._matched(tag)
+        known = self.known[tag]
+        if tag in RAW:
+            k = bisect_left(known, (at, 0))
+            end = known[k][1] if k < len(known) else None
+        else:
+            end = known.get(start)
+        if end is not None:
+            return end
+        block = None if tag in ("script", "style") else _BLOCK_START.search(self.html, at)
+        return block.start() if block else len(self.html)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "up", "size", "linked", "links", "main", "score", "dropped", "named")
 
@@ -95,7 +141,7 @@ def parse(html: str) -> Node:
             if tag in BOUND:
                 bounds.pop()
 
-    at, n, raw_end = 0, len(html), {}
+    at, n, ends = 0, len(html), _Ends(html)
     while at < n:
         m = _MARKUP.search(html, at)
         if not m:
@@ -117,13 +163,9 @@ def parse(html: str) -> Node:
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-        if tag in RAW:
-            if tag not in raw_end:
-                raw_end[tag] = re.compile(rf"</{tag}\b[^>]*>", re.I)
-            if m[0].endswith("/>") and tag in ("svg", "math"):
-                continue
-            end = raw_end[tag].search(html, at)
-            at = end.end() if end else n
+        if tag in RAW or tag in NESTED or tag in SINGLE:
+            if not (m[0].endswith("/>") and tag in ("svg", "math")):
+                at = ends.after(tag, m.start(), at)
             continue
         if tag == "html":
             continue
@@ -180,7 +222,7 @@ def _blocks(node: Node) -> list[str]:
 
     def flush():
         if line:
-            words = unescape("".join(line)).split()
+            words = "".join(line).split()
             line.clear()
             if words:
                 out.append(" ".join(words))
@@ -191,7 +233,7 @@ def _blocks(node: Node) -> list[str]:
         if x is None:
             flush()
         elif x.__class__ is str:
-            line.append(x)
+            line.append(unescape(x))  # by itself: no reference runs across a tag
         elif not x.dropped:
             block = x.tag in BLOCK
             if block:
@@ -258,7 +300,7 @@ def _scored_text(root: Node, order: list[Node], names: str) -> str:
     for node in order:
         if node.dropped or node.tag not in SCORED:
             continue
-        own = " ".join(unescape("".join(_own_text(node))).split())
+        own = " ".join("".join(_own_text(node)).split())
         if len(own) < 25:
             continue
         points = 1 + own.count(",") + min(len(own) / 100, 3)
@@ -315,7 +357,7 @@ def _own_text(node: Node) -> list[str]:
     while todo:
         k = todo.pop()
         if k.__class__ is str:
-            out.append(k)
+            out.append(unescape(k))
         elif k.tag not in BLOCK and not k.dropped:
             todo += reversed(k.kids)
     return out
@@ -324,12 +366,12 @@ def _own_text(node: Node) -> list[str]:
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Add the main text of every page, and n_chars, its code points.
 
-    A null or empty html gives an empty text. Columns of the output's names are replaced; others stay.
+    A null or empty html gives an empty text. Columns of the output's names, in whatever case, are replaced; others stay.
     Repeated rows each have their text. A page is parsed whole, in time that follows its length; an empty
     table gives no rows.
     """
-    kept = [c for c in pages.columns if c not in (out_col, "n_chars", html_col)]
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    kept = [c for c in pages.columns if c.lower() not in (out_col.lower(), "n_chars", html_col.lower())]
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias(fresh("html", kept)))
     out = rows.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out_col, "string").add("n_chars", "long")
 
     def run(batches):

@@ -26,15 +26,16 @@ def url_path(url: Column) -> Column:
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Add host, path, rule and verdict to every page (columns of those names are replaced).
+    """Add host, path, rule and verdict to every page (columns of those names, in whatever case, are replaced).
 
     A rule fits its host and all subdomains when the path starts with the rule's. The longest rule
     wins; of equally long ones that with the longer host, then block. No rule: ``default``.
     A null url, or one without ``://``, has an empty host and path. Rules with null parts are ignored;
-    a rule's host is lower-cased. Empty tables of pages or rules are fine.
+    a rule's host is lower-cased. Empty tables of pages or rules are fine. Repeated rows are judged alike and all
+    stay. A very long url is judged whole; a host makes an expression for each of its labels.
     """
     taken = {"host", "path", "rule", "verdict"}
-    pages = pages.drop(*[c for c in pages.columns if c in taken])
+    pages = pages.drop(*[f"`{c}`" if "." in c else c for c in pages.columns if c.lower() in taken])
     judged = pages.withColumns({"host": url_host(pages[url_col]), "path": url_path(pages[url_col])})
 
     rules = rules.where("host is not null and path is not null and verdict is not null")

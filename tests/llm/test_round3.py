@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import fill_middle, filter_audit, language
+from cairn.llm import embed_dedup, fill_middle, filter_audit, html_text, language, url_rules
 from cairn.llm.folds import fold
+from cairn.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, score double, form string, output string, n long, mask int, b0 long, cls long, `a.b` string, part string"
@@ -133,8 +134,6 @@ def test_refinement_drops_single_rows(spark):
     texts = ["a" * 64 + x for x in ("b", "b", "c", "dd")] + ["q" * 65, "zz"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     facts = df.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), *filter_audit._block_hashes(F.col("text"), F.xxhash64))
-    from cairn.llm.scratch import Scratch
-
     assert {r.doc_id for r in filter_audit.refine(facts, Scratch(spark, "t")).collect()} == {0, 1}
 
 
@@ -248,3 +247,53 @@ def test_sql(spark, query, sql):
     got = query(spark, SF)
     want = c.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+ARTICLE = [f"Paragraph {k} of the article, with commas, is long enough to count as prose, and goes on for a while." for k in range(4)]
+
+
+@pytest.mark.parametrize("odd", ["<svg><path d=x>", "<select><option>one<option>two", "<math><mi>x", "<template>", "<noscript>", "<title>", "<textarea>", "<svg viewBox='0>1'><g>", "<iframe src=x>", "<svg/>",
+                                 "<noscript>no<p>script</p></noscript>", "<template><p>a<template>b</template></p></template>", "<select><option>x</select>", "<svg><text>shape</text></svg>"])
+@pytest.mark.parametrize("later", ["", "<svg><g/></svg>", "<noscript><p>Please switch it on.</p></noscript>", "<template>t</template>"])
+def test_html_unclosed(odd, later):
+    """What is never closed ends at the next block, whatever comes later; what is closed goes whole."""
+    a, b, *rest = (f"<p>{x}</p>" for x in ARTICLE)
+    page = f"<html><body><article>{a}{b}{odd}{''.join(rest)}</article>{later}</body></html>"
+    assert html_text.main_text(page) == " ".join(ARTICLE)
+
+
+@pytest.mark.parametrize("noise", ['<div class="alert alert-info">Mind, all readers, that this site, moves soon, to another place.</div>', '<section id="respond"><div class="response"><p>I think, as a reader, that this is, all in all, wrong.</p></div></section>',
+                                   '<div class="snackbar"><p>Saved, for later, on this device, and others.</p></div>', '<ul class="responses"><li>A reader, says, at length, that it, is good.</li></ul>'])
+def test_html_notices_and_comments(noise):
+    page = f"<html><body><main>{''.join(f'<p>{x}</p>' for x in ARTICLE)}{noise}</main></body></html>"
+    assert html_text.main_text(page) == " ".join(ARTICLE)
+
+
+def test_html_references_end_at_tags(spark):
+    text = "AT&<b>amp;</b>T and R&amp;D, &#x41;&copy, " + ARTICLE[0]
+    assert html_text.main_text(f"<article><p>{text}</p></article>") == "AT&amp;T and R&D, A©, " + ARTICLE[0]
+    df = spark.createDataFrame([(1, f"<p>{ARTICLE[0]}", 5, "old", "N")], "page_id long, html string, __html int, `Text` string, `N_CHARS` string")
+    out = html_text.extract(df)
+    assert out.columns == ["page_id", "__html", "text", "n_chars"] and out.first().text == ARTICLE[0]
+
+
+def test_urls_clashing(spark):
+    df = spark.createDataFrame([(1, "http://a.net/", "x", "y", 3, "z")], "page_id long, url string, `Verdict` string, `RULE` string, `won` int, `a.b` string")
+    out = url_rules.judge_urls(df, spark.createDataFrame(url_rules.RULES, url_rules.RULE_SCHEMA))
+    assert sorted(out.columns) == sorted(["page_id", "url", "won", "a.b", "host", "path", "rule", "verdict"]) and out.first().rule == "net/"
+    long = spark.createDataFrame([(1, "http://" + "a." * 500 + "net/" + "x" * 10_000)], "page_id long, url string")
+    assert url_rules.judge_urls(long, spark.createDataFrame(url_rules.RULES, url_rules.RULE_SCHEMA)).first().rule == "net/"
+
+
+def test_embeddings_of_all_lengths(spark):
+    """Vectors of several lengths and code widths: each links with those of its own only."""
+    rnd = np.random.default_rng(3)
+    vectors = []
+    for dim in (1, 3, 4, 48, 300, 9000):
+        base = rnd.normal(size=(4, dim))
+        vectors += [*base, base[0] * 2, base[1] + 0.01 * rnd.normal(size=dim)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], "a", 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, code string, node int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, Scratch(spark, "t")).collect()}
+    unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for v in vectors]
+    want = {i: sum(len(u) == len(v) and u @ v >= 0.9 for j, v in enumerate(unit) if j != i) for i, u in enumerate(unit)}
+    assert got == want
