@@ -234,20 +234,49 @@ def shared_documents(topics: DataFrame) -> DataFrame:
     return j.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("n_docs"))
 
 
-def topic_graph(chunks: DataFrame, pairs: DataFrame, stopwords: list[str], k: int = 5, least: int = 3, most: int = 12) -> tuple[DataFrame, DataFrame]:
+def topic_graph(
+    chunks: DataFrame, pairs: DataFrame, stopwords: list[str] | None = None, k: int = 5, least: int = 3, most: int = 12
+) -> tuple[DataFrame, DataFrame]:
     """Topics and their links. chunks: id, doc_id, text; pairs: a, b, cosine of similar chunks.
 
-    Nearest neighbours, communities by label rounds, keyword titles, links where topics share documents.
+    Nearest neighbours, communities by labels in order of ids, keyword titles, links where topics share documents.
     """
     edges = graph.knn(pairs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     com = graph.communities_by_label(graph.label_propagation(edges), least, most)
     members = com.select("community", F.explode("node_ids").alias("id")).join(chunks, "id")
     words = graph.cluster_keywords(members.select(F.col("community").alias("cluster"), "text"), stopwords).withColumnRenamed("cluster", "community")
     docs = members.groupBy("community").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-    topics = com.join(words, "community").join(docs, "community").withColumnRenamed("community", "id")
+    topics = com.join(docs, "community").join(words, "community", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    topics = topics.withColumnRenamed("community", "id")
     return topics, shared_documents(topics)
 
 
+# fixed values: title of a topic without keywords, relation of topics that share documents
+UNTITLED, RELATED = "Untitled topic", "related topic"
+
+
+def topic_nodes(topics: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topics and links of ``topic_graph`` as nodes and edges of a graph; a topic's id follows from its members."""
+    label = F.array_join(F.slice("keywords", 1, 3), ", ")
+    words = F.array_join("keywords", ", ")
+    summary = F.format_string("A cluster of %d related passage(s) across %d document(s): %s.", F.col("size"), F.size("doc_ids"), words)
+    members = F.array_sort(F.transform("node_ids", lambda x: x.cast("string")))
+    named = topics.select(F.col("id").alias("topic"), F.concat(F.lit("topic_"), TX.short_hash(F.array_join(members, ","))).alias("id"),
+        F.lit("topic").alias("type"), F.when(label == "", UNTITLED).otherwise(label).alias("label"), F.col("keywords").alias("aliases"), summary.alias("summary"),
+        F.transform("doc_ids", lambda d: d.cast("string")).alias("doc_ids"))
+    ends = named.select("topic", "id")
+    e = links.join(ends.select(F.col("topic").alias("a"), F.col("id").alias("src")), "a").join(ends.select(F.col("topic").alias("b"), F.col("id").alias("dst")), "b")
+    e = e.select(F.concat(F.lit("topic_e_"), TX.short_hash(F.concat_ws("|", "src", "dst"))).alias("id"), "src", "dst", F.lit(RELATED).alias("relation"))
+    return named.drop("topic"), e
+
+
+def replace_topics(nodes: DataFrame, edges: DataFrame, topics: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with its topic nodes, and the edges at them, replaced by new ones (``topic_nodes``); other nodes and edges stay."""
+    old = nodes.where("type = 'topic'").select("id")
+    kept = edges.join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.where("type <> 'topic' or type is null").unionByName(topics, True), kept.unionByName(links, True)
+
+
 def coverage(selected: DataFrame, done: DataFrame) -> DataFrame:
     """doc_id, selected, completed, pending window sets. Both: doc_id, window_idx."""
     s = selected.distinct().join(done.distinct().withColumn("__done", F.lit(True)), ["doc_id", "window_idx"], "left")

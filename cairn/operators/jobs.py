@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as TX
+from ..functions import vectors as V
+from ..sources import files
 from . import assist, chunking, graph, records
 
 #: Relations that a model may type, and themes that it may describe.
@@ -64,7 +66,8 @@ def entity_graph(spans: DataFrame, sentences: DataFrame, types: dict[str, str],
     """
     inside = chunking.spans_in_sentences(spans, sentences.drop("sentence_id")).join(sentences.select("window_id", "sentence_idx", "sentence_id"), ["window_id", "sentence_idx"])
     rows = inside.select(
-        F.xxhash64("window_id", "start", "end").alias("seq"), F.col("text").alias("label"), assist.map_label(F.col("label"), types, "other").alias("type"),
+        # first occurrence decides: in order of documents, windows and places
+        F.struct("doc_id", "window_id", "start", "end").alias("seq"), F.col("text").alias("label"), assist.map_label(F.col("label"), types, "other").alias("type"),
         F.array("sentence_id").alias("evidence"), F.array(F.col("doc_id").cast("string")).alias("doc_ids"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("summary"), "sentence_id",
     )
     nodes = graph.merge_nodes(rows.drop("sentence_id").withColumn("id", F.lit("")))
@@ -81,6 +84,29 @@ def entity_graph(spans: DataFrame, sentences: DataFrame, types: dict[str, str],
     return nodes, pairs, graph.communities_by_label(graph.label_propagation(pairs), 3, THEMES)
 
 
+def entity_vectors(nodes: DataFrame, path: str, model: str, embed: Callable) -> DataFrame:
+    """nodes with their vector v, of length one: embedded once for each text, whichever build has met it first.
+
+    ``path`` is a table of (key, model, v), where key is the SHA-256 of a node's text, its label and summary. Texts that
+    the model has no vector of there are embedded, each once, and appended; vectors of another model are not read.
+    """
+    spark = nodes.sparkSession
+    text = F.trim(F.concat_ws(" — ", "label", F.nullif("summary", F.lit(""))))
+    keyed = nodes.withColumn("__text", text).withColumn("__key", F.sha2("__text", 256))
+
+    def known() -> DataFrame:
+        if not files.exists(spark, path):
+            return spark.createDataFrame([], "__key string, v array<double>")
+        rows = spark.read.schema("key string, v array<double>, model string").parquet(path).where(F.col("model") == model)
+        return rows.groupBy(F.col("key").alias("__key")).agg(F.first("v").alias("v"))  # builds at one time may both have added a text
+
+    new = keyed.select("__key", "__text").distinct().join(known().select("__key"), "__key", "left_anti")
+    new = new.select(F.col("__key").alias("key"), embed(F.col("__text")).alias("v"))
+    new = new.select("key", V.normalize(F.col("v")).alias("v"), F.lit(model).alias("model"))
+    new.write.mode("append").partitionBy("model").parquet(path)
+    return keyed.join(known(), "__key", "left").drop("__key", "__text")
+
+
 def enrich(edges: DataFrame, members: DataFrame, call: Callable[[str], str | None], dirty: DataFrame | None = None, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
     """Relations of the edges between the busiest entities, and summaries of the communities, by a bounded number of calls.
 

@@ -45,3 +45,28 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where the input has fewer splits than there are cores, as a file of one row group has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+class Tables:
+    """Written tables of one run in the shared folder: they cut the lineage of rounds and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        import uuid
+
+        self.spark, self.root, self._n, self._paths = spark, f"{checkpoint_root(spark)}/cairn-{label}-{uuid.uuid4().hex[:12]}", 0, {}
+
+    def keep(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+        """Write rows once and return the written table; ``instead_of`` is a kept table that is deleted then."""
+        self._n += 1
+        path = f"{self.root}/{self._n:04d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path, out
+        if instead_of is not None:
+            self.drop(instead_of)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        from .sources import files
+
+        files.delete(self.spark, self._paths.pop(id(df))[0])

@@ -260,7 +260,8 @@ def test_streams(spark, tmp_path):
     want = {("a", 0), ("a", 60), ("b", 10)}
     minutes = lambda df: {(r.k, r.t.hour * 60 + r.t.minute) for r in df.collect()}
     assert minutes(streams.fire_with_cooldown(ev, "k", "t", 60)) == want
-    ev.write.parquet(str(tmp_path / "in"))
+    later = spark.createDataFrame([("z", "2024-01-02 00:00:00")], "k string, t string").select("k", F.to_timestamp("t").alias("t"))
+    ev.unionByName(later).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
     q = streams.cooldown_stream(s, "k", "t", 60).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
