@@ -57,22 +57,30 @@ def extract_windows(windows: DataFrame, done: DataFrame, call: Callable[[str], s
     return complete(todo, col, call, schema, "answer", at_once).where("answer is not null and not truncated").select("doc_id", "window_idx", "hash", "answer")
 
 
-def entity_graph(spans: DataFrame, sentences: DataFrame, types: dict[str, str], similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and communities of the entities that a recogniser has found.
+def entity_tables(spans: DataFrame, sentences: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes by normalised label, the first occurrence's label and type, and pairs (a, b, n) that share sentences of two to six entities.
 
-    spans: window_id, doc_id, label, text, start, end, score; sentences: window_id, sentence_id, sentence_idx,
-    start, end. Entities of one normalised label are one node; those that occur together in a sentence of two to
-    six are linked; ``similar`` (a < b of node ids) are merged greedily where their types allow it.
+    spans: window_id, doc_id, label, text, start, end, score; sentences: window_id, sentence_id, sentence_idx, start, end.
+    First is in order of documents, windows and places.
     """
     inside = chunking.spans_in_sentences(spans, sentences.drop("sentence_id")).join(sentences.select("window_id", "sentence_idx", "sentence_id"), ["window_id", "sentence_idx"])
     rows = inside.select(
-        # first occurrence decides: in order of documents, windows and places
         F.struct("doc_id", "window_id", "start", "end").alias("seq"), F.col("text").alias("label"), assist.map_label(F.col("label"), types, "other").alias("type"),
         F.array("sentence_id").alias("evidence"), F.array(F.col("doc_id").cast("string")).alias("doc_ids"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("summary"), "sentence_id",
     )
     nodes = graph.merge_nodes(rows.drop("sentence_id").withColumn("id", F.lit("")))
     mentions = rows.select("sentence_id", F.concat(F.lit("n_"), TX.short_hash(TX.norm_label("label"))).alias("entity"))
-    pairs = chunking.cooccurrence(mentions).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related to").alias("relation"), F.col("n").alias("weight"))
+    return nodes, chunking.cooccurrence(mentions)
+
+
+def entity_graph(spans: DataFrame, sentences: DataFrame, types: dict[str, str], similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and communities of the entities that a recogniser has found.
+
+    Entities of one normalised label are one node (``entity_tables``); those that occur together in a sentence of two to
+    six are linked; ``similar`` (a < b of node ids) are merged greedily where their types allow it.
+    """
+    nodes, together = entity_tables(spans, sentences, types)
+    pairs = together.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related to").alias("relation"), F.col("n").alias("weight"))
     if similar is not None:
         into = graph.greedy_merge(nodes, similar)
         nodes = nodes.join(into.select("id"), "id", "left_anti")

@@ -115,13 +115,19 @@ r AS (SELECT item, score, row_number() OVER (ORDER BY score DESC, item) AS rank
 SELECT rank, item, round(r.score, 6) AS score, left(text, 80) AS head FROM r LEFT JOIN documents ON doc_id = item"""
 
 
+def _with_heads(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """The hits, ten at most, with the beginning of their texts: they are sent to the documents, never the other way round."""
+    ids = hits.select(F.col("item").alias("doc_id"))
+    heads = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.substring("text", 1, 80).alias("head"))
+    return hits.join(F.broadcast(heads), "item", "left").select("rank", "item", F.round("score", 6).alias("score"), "head")
+
+
 @query(f"WITH {_POST}, {_bm25_sql('b', QUERY)}, {_dense_sql('d', QUERY_ID)}, {_fused([_ranked('d', 100), _ranked('b', 100)], 10)}")
 def hybrid_search(spark, sf):
     """The ten best documents by fused dense and lexical ranks (vec_id stands for doc_id)."""
     docs = table(spark, sf, "documents")
     hits = retrieval.hybrid(docs, table(spark, sf, "embeddings"), QUERY, _vector(spark, sf, QUERY_ID), 10, index=_index(spark, sf))
-    out = hits.join(docs, hits.item == docs.doc_id, "left")
-    return out.select("rank", "item", F.round("score", 6).alias("score"), F.substring("text", 1, 80).alias("head"))
+    return _with_heads(hits, docs)
 
 
 @query(
@@ -132,8 +138,7 @@ def multi_query_search(spark, sf):
     docs = table(spark, sf, "documents")
     variants = [(QUERY, _vector(spark, sf, QUERY_ID)), (OTHER, _vector(spark, sf, 11))]
     hits = retrieval.multi_hybrid(docs, table(spark, sf, "embeddings"), variants, 10, index=_index(spark, sf))
-    out = hits.join(docs, hits.item == docs.doc_id, "left")
-    return out.select("rank", "item", F.round("score", 6).alias("score"), F.substring("text", 1, 80).alias("head"))
+    return _with_heads(hits, docs)
 
 
 @query("""WITH s AS (SELECT d AS dim, max(abs(x)) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY d)
@@ -383,11 +388,14 @@ def cooccurrence(spark, sf):
     return chunking.cooccurrence(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sentence_id"), F.col("l_suppkey").alias("entity")))
 
 
-@query(f"""WITH t AS (SELECT lang AS cluster, unnest(list_distinct({_TOK})) AS term FROM documents), c AS (SELECT cluster, term, count(*) AS n FROM t WHERE term NOT IN ('the', 'and') GROUP BY ALL),
+_TOPIC_STOP = ", ".join(f"'{w}'" for w in graph.TOPIC_STOPWORDS)
+
+
+@query(f"""WITH t AS (SELECT lang AS cluster, unnest({_TOK}) AS term FROM documents), c AS (SELECT cluster, term, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN ({_TOPIC_STOP}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 6) SELECT cluster, string_agg(term, ' ' ORDER BY k) AS keywords FROM r GROUP BY cluster""")
 def cluster_keywords(spark, sf):
     m = table(spark, sf, "documents").select(F.col("lang").alias("cluster"), "text")
-    return graph.cluster_keywords(m, ["the", "and"]).select("cluster", F.array_join("keywords", " ").alias("keywords"))
+    return graph.cluster_keywords(m).select("cluster", F.array_join("keywords", " ").alias("keywords"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 90 MINUTE END
@@ -556,10 +564,10 @@ def bounded_crawl(spark, sf):
 @query()
 def topic_graph(spark, sf):
     """Topics over documents whose vectors are alike (vec_id stands for doc_id)."""
-    near = graph.knn_blocked(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    near = graph.knn_bucketed(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 64)
     pairs = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "cosine").distinct()
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), "text")
-    topics, _ = assist.topic_graph(docs, pairs, ["the", "and"])
+    topics, _ = assist.topic_graph(docs, pairs)
     return topics.select("id", "size", F.array_join("keywords", " ").alias("keywords"))
 
 
@@ -614,4 +622,4 @@ def recorded_events(spark, sf):
     return parsing.host_events(e, F.lit("click.example.com"), ["ts", "event_id"], ["user_id"], 20).select("event_id", "user_id")
 
 
-from . import conditions, rules  # noqa: E402,F401  (register further queries)
+from . import conditions, rules, stores  # noqa: E402,F401  (register further queries)
