@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bit_table
 from .scratch import Scratch
 from .wordvec import split_batches
 
@@ -32,9 +33,6 @@ BLOCK_ENDS = (64, 1024)
 BLOCKS = len(BLOCK_ENDS) + 1
 #: Words are split from so many bytes at a time.
 PIECE = 1 << 20
-#: Bits of the table of classes that is sent to the scan of the texts: MOST_BITS (32 MB) at most, whatever the input.
-#: Where classes are too many for it, more texts pass to the comparison, which is exact by itself.
-BITS_A_CLASS, BUCKET, MOST_BITS = 16, 1 << 15, 1 << 28
 _REST_OF_WORD = re.compile(rb"[^ \t\n\v\f\r]*")
 
 
@@ -103,16 +101,8 @@ def refine(facts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _in_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of texts whose cls is set in a bit table of the classes; a few others may pass too."""
-    bits = min(MOST_BITS, max(BUCKET, 1 << (BITS_A_CLASS * classes.count()).bit_length()))
-    place = F.pmod(F.xxhash64("cls"), F.lit(bits)) + 1
-    set_ = F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
-    table = classes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(set_)
-    asked = texts.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place"))
-    asked = asked.withColumn("place", F.bitmap_bit_position("place").cast("int"))
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = asked.join(F.broadcast(table), "bucket").where(F.getbit(byte, F.col("place") % 8) == 1)
-    return found.select(*texts.columns)
+    """Rows of texts whose cls is set in a table of bits over the classes; a few others may pass too."""
+    return bit_table.flagged(texts, "cls", classes, "held").where("held").drop("held")
 
 
 def _repeats(rows: DataFrame, text: list[str]) -> DataFrame:

@@ -39,12 +39,16 @@ INSULT_WEIGHT = 3.0
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "rodeo clown", "pond scum", "sore loser", "bitch of the litter")
 #: letters that look like Latin ones, and the letters that they stand for
 HOMOGLYPHS = (
-    "аАαΑɑ", "a", "вВβΒ", "b", "сСϲ", "c", "ԁ", "d", "еЕєЄεΕ", "e", "ɡ", "g", "нНΗһ", "h", "іІїιΙı", "i", "јЈ", "j",
-    "кКκΚ", "k", "ӏΙ", "l", "мМΜ", "m", "ոΝ", "n", "оОοΟσ", "o", "рРρΡ", "p", "ԛ", "q", "г", "r", "ѕЅ", "s",
-    "тТτΤ", "t", "υμ", "u", "νѵ", "v", "ԝω", "w", "хХχΧ", "x", "уУγΥ", "y", "ΖᴢᏃ", "z",
+    "аАαΑɑ", "a", "вВβΒ", "b", "сСϲ", "c", "ԁđĐ", "d", "еЕєЄεΕ", "e", "ɡ", "g", "нНΗһħĦ", "h", "іІїιΙı", "i", "јЈ", "j",
+    "кКκΚ", "k", "ӏłŁ", "l", "мМΜ", "m", "ոΝ", "n", "оОοΟσøØ", "o", "рРρΡ", "p", "ԛ", "q", "г", "r", "ѕЅ", "s",
+    "тТτΤŧŦ", "t", "υμ", "u", "νѵ", "v", "ԝω", "w", "хХχΧ", "x", "уУγΥ", "y", "ΖᴢᏃ", "z",
 )
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
-_SIGNS = re.compile(r"[@$](?=[@$]*[^\W\d_])")
+#: signs beside a letter, an exclamation mark between letters, and words of single letters parted by signs
+_SIGNS = re.compile(r"[@$](?=[@$]*[^\W\d_])|(?<=[^\W\d_])[@$]+|(?<=[^\W\d_])!(?=[^\W\d_])")
+_SIGN_LETTERS = str.maketrans("@$!", "asi")
+_PARTED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*][^\W_]){2,}(?![^\W_])")
+_NO_SIGNS = dict.fromkeys(map(ord, ".-_*"))
 _NUMBER = re.compile(r"(?<![^\W_])\d[\d.,:]*(?![^\W_])")
 
 
@@ -69,8 +73,10 @@ def folded(text: str | None) -> str:
     """Lower-case words between single or repeated spaces, with a space at either end."""
     if not text:
         return " "
-    if "@" in text or "$" in text:
-        text = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
+    if "@" in text or "$" in text or "!" in text:
+        text = _SIGNS.sub(lambda m: m[0].translate(_SIGN_LETTERS), text)
+    if _PARTED.search(text):
+        text = _PARTED.sub(lambda m: m[0] if m[0].translate(_NO_SIGNS).isdigit() else m[0].translate(_NO_SIGNS), text)
     return f" {_NUMBER.sub(' ', text).translate(_FOLD)} "
 
 

@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import embed_dedup, fill_middle, filter_audit, html_text, language, url_rules
+from cairn.llm import decontaminate, embed_dedup, fill_middle, filter_audit, html_text, language, url_rules
 from cairn.llm.folds import fold
 from cairn.llm.scratch import Scratch
+from cairn.llm.wordvec import word_hashes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, score double, form string, output string, n long, mask int, b0 long, cls long, `a.b` string, part string"
@@ -297,3 +298,46 @@ def test_embeddings_of_all_lengths(spark):
     unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for v in vectors]
     want = {i: sum(len(u) == len(v) and u @ v >= 0.9 for j, v in enumerate(unit) if j != i) for i, u in enumerate(unit)}
     assert got == want
+
+
+def test_overlaps_joined_and_local(spark, monkeypatch):
+    """Joined hashes find what one index of all items finds, whichever side is sent, and with a table of bits that says yes to all."""
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(60)]
+    words = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [words(rnd.choice([2, 4, 5, 7, 9, 12, 20, 40, 60])) for _ in range(30)] + [["ha"] * 30]
+    texts = []
+    for _ in range(80):
+        w = words(rnd.randint(0, 60))
+        for item in rnd.sample(items, rnd.randint(0, 3)):
+            w += [x if rnd.random() > 0.12 else rnd.choice(vocab) for x in item] + words(rnd.randint(0, 20))
+        texts.append(" ".join(w))
+    texts += texts[:5] + ["ha " * 20_000, None, ""]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    h, first = word_hashes(pa.array(texts), decontaminate.ALNUM_SPLIT)
+    want = [sorted(x) for x in index.overlaps(h, first)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+
+    def found():
+        got = {r.doc_id: sorted(tuple(o) for o in r.overlaps) for r in decontaminate.find_overlaps(docs, bench, ["doc_id"]).collect()}
+        return [got[i] for i in range(len(texts))]
+
+    assert sum(map(bool, want)) > 30 and found() == want
+    monkeypatch.setattr(decontaminate, "SENT", 0)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(decontaminate, "BITS_A_SEED", 0)
+    assert found() == want
+
+
+def test_seed_recall():
+    """Of passages with up to a fifth of their words replaced at random, at least nine in ten are found for every length of item."""
+    rnd = random.Random(5)
+    for n in (10, 12, 15, 20, 40):
+        item = [f"i{k}" for k in range(n)]
+        index, texts = decontaminate.Index([(1, " ".join(item))]), []
+        for _ in range(300):
+            lost = rnd.sample(range(n), rnd.randint(1, n // 5))
+            texts.append(" ".join(f"z{rnd.random()}"[2:] if k in lost else x for k, x in enumerate(item)))
+        h, first = word_hashes(pa.array(texts), decontaminate.ALNUM_SPLIT)
+        assert sum(map(bool, index.overlaps(h, first))) >= 0.9 * 300
