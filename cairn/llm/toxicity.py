@@ -44,10 +44,12 @@ HOMOGLYPHS = (
     "тТτΤŧŦ", "t", "υμ", "u", "νѵ", "v", "ԝω", "w", "хХχΧ", "x", "уУγΥ", "y", "ΖᴢᏃ", "z",
 )
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
-#: signs beside a letter, an exclamation mark between letters, and words of single letters parted by signs
-_SIGNS = re.compile(r"[@$](?=[@$]*[^\W\d_])|(?<=[^\W\d_])[@$]+|(?<=[^\W\d_])!(?=[^\W\d_])")
-_SIGN_LETTERS = str.maketrans("@$!", "asi")
+#: runs of signs, which are letters beside a letter; an exclamation mark between letters; words of single letters parted by signs, and what they all hold
+_SIGNS = re.compile(r"[@$]+")
+_BANG = re.compile(r"!(?<=[^\W\d_]!)(?=[^\W\d_])")
 _PARTED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*][^\W_]){2,}(?![^\W_])")
+_PARTED_HINT = re.compile(r"[.\-_*][^\W_][.\-_*]")
+_SIGN_LETTERS = str.maketrans("@$", "as")
 _NO_SIGNS = dict.fromkeys(map(ord, ".-_*"))
 _NUMBER = re.compile(r"(?<![^\W_])\d[\d.,:]*(?![^\W_])")
 
@@ -69,13 +71,21 @@ _FOLD = _Fold({ord(c): to for chars, to in zip(HOMOGLYPHS[::2], HOMOGLYPHS[1::2]
 _FOLD.update({ord(c): to for c, to in DIGITS.items()})
 
 
+def _letters(m: re.Match) -> str:
+    text, a, b = m.string, m.start(), m.end()
+    beside = a and text[a - 1].isalpha() or b < len(text) and text[b].isalpha()
+    return m[0].translate(_SIGN_LETTERS) if beside else m[0]
+
+
 def folded(text: str | None) -> str:
     """Lower-case words between single or repeated spaces, with a space at either end."""
     if not text:
         return " "
-    if "@" in text or "$" in text or "!" in text:
-        text = _SIGNS.sub(lambda m: m[0].translate(_SIGN_LETTERS), text)
-    if _PARTED.search(text):
+    if "@" in text or "$" in text:
+        text = _SIGNS.sub(_letters, text)
+    if "!" in text:
+        text = _BANG.sub("i", text)
+    if _PARTED_HINT.search(text):
         text = _PARTED.sub(lambda m: m[0] if m[0].translate(_NO_SIGNS).isdigit() else m[0].translate(_NO_SIGNS), text)
     return f" {_NUMBER.sub(' ', text).translate(_FOLD)} "
 
