@@ -130,13 +130,39 @@ def slug(x: Column | str, limit: int | None = 40) -> Column:
     return F.regexp_replace(F.substring(s, 1, limit), "-+$", "") if limit else s
 
 
-def strip_html(x: Column | str, tag: str = " ") -> Column:
-    """Text of markup: scripts and styles go, tags become ``tag``, common references are decoded."""
+# fixed values: named references that are decoded
+REFERENCES = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"))
+
+
+def _numbered(t: Column) -> Column:
+    """References by decimal numbers decoded, of characters that there are; split at them, so no character needs a pattern of its own."""
+    parts = F.split(t, "&#(?=[0-9]{1,7};)")
+    return F.array_join(F.transform(parts, lambda x, i: F.when((i > 0) & x.rlike("^[0-9]{1,7};"), F.concat(_char(F.regexp_extract(x, "^([0-9]+);", 1)), F.regexp_replace(x, "^[0-9]+;", ""))).otherwise(x)), "")
+
+
+def _char(number: Column) -> Column:
+    """The character of a code point, by its bytes in UTF-8; nothing for none."""
+    n = number.cast("int")
+    byte = lambda lead, shift: F.hex((F.shiftright(n, shift).bitwiseAND(F.lit(63)) + F.lit(128)) if lead is None else (F.shiftright(n, shift) + F.lit(lead)))
+    tail = lambda k: [byte(None, 6 * x) for x in range(k - 1, -1, -1)]
+    code = (
+        F.when(n < 128, F.lpad(F.hex(n), 2, "0")).when(n < 0x800, F.concat(byte(0xC0, 6), *tail(1))).when((n >= 0xD800) & (n < 0xE000), F.lit("EFBFBD"))
+        .when(n < 0x10000, F.concat(byte(0xE0, 12), *tail(2))).when(n < 0x110000, F.concat(byte(0xF0, 18), *tail(3))).otherwise(F.lit("EFBFBD"))
+    )
+    return F.when(n == 0, F.lit("\ufffd")).otherwise(F.unhex(code).cast("string"))
+
+
+def strip_html(x: Column | str, tag: str = " ", numbered: bool = False) -> Column:
+    """Text of markup: scripts and styles go, tags become ``tag``, common references are decoded; ``numbered``: those by number too, and unknown ones are blanks."""
     t = F.regexp_replace(_c(x), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]" + (r"|table|blockquote" if numbered else "") + r")\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", tag)
-    for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ref), F.lit(char))
+    t = _numbered(t) if numbered else F.replace(t, F.lit("&#39;"), F.lit("'"))
+    for ref, char in REFERENCES[:-1]:
+        t = F.regexp_replace(t, f"(?i)&{ref};", char)
+    if numbered:
+        t = F.regexp_replace(t, "(?i)&(?!amp;)[a-z#0-9]+;", " ")
+    t = F.regexp_replace(t, "(?i)&amp;", "&")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     return squeeze_ends(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
 

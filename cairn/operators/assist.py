@@ -18,8 +18,9 @@ from . import graph, records
 def rerank(hits: DataFrame, order: DataFrame, k: int) -> DataFrame:
     """Hits (item, rank) by a model's order (item, pos); invalid and repeated items are dropped, the rest fills up."""
     first = order.groupBy("item").agg(F.min("pos").alias("pos"))
-    j = hits.join(first, "item", "left").withColumn("key", F.coalesce(F.col("pos"), F.lit(1_000_000) + F.col("rank")))
-    return j.withColumn("new_rank", F.row_number().over(W.orderBy("key", "item"))).where(F.col("new_rank") <= k).drop("key", "pos")
+    j = hits.join(first, "item", "left").withColumn("key", F.struct(F.col("pos").isNull().alias("none"), F.coalesce("pos", "rank").alias("at"), "item"))
+    best = j.orderBy("key").limit(k)  # what is numbered is k rows
+    return best.withColumn("new_rank", F.row_number().over(W.orderBy("key"))).drop("key", "pos")
 
 
 def clean_citations(df: DataFrame, col: str, known: DataFrame) -> DataFrame:
@@ -46,27 +47,10 @@ def clean_citations(df: DataFrame, col: str, known: DataFrame) -> DataFrame:
 
 
 def looks_truncated(text: Column) -> Column:
-    """JSON-like text whose brackets outside strings do not close."""
-
-    def check(texts: pd.Series) -> pd.Series:
-        def one(t):
-            depth, quoted, skip = 0, False, False
-            for c in t or "":
-                if skip:
-                    skip = False
-                elif quoted:
-                    skip, quoted = c == "\\", c != '"'
-                elif c == '"':
-                    quoted = True
-                elif c in "{[":
-                    depth += 1
-                elif c in "}]":
-                    depth -= 1
-            return quoted or depth > 0
-
-        return texts.map(one)
-
-    return F.pandas_udf(check, "boolean")(text)
+    """JSON-like text that ends inside a string, or whose brackets outside strings do not all close."""
+    outside = F.regexp_replace(F.coalesce(text, F.lit("")), r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    before = F.regexp_replace(outside, r'(?s)".*$', "")
+    return outside.contains('"') | (F.regexp_count(before, F.lit(r"[{\[]")) > F.regexp_count(before, F.lit(r"[}\]]")))
 
 
 def split_window(df: DataFrame, col: str) -> DataFrame:
@@ -331,6 +315,24 @@ def slash_command(x: Column) -> Column:
     return F.when(x.rlike(p), F.struct(F.lower(F.regexp_extract(x, p, 1)).alias("command"), F.regexp_extract(x, p, 2).alias("rest")))
 
 
+def repo_mention(x: Column) -> Column:
+    """The first name that a text mentions by a number sign, else null."""
+    return F.nullif(F.regexp_extract(x, r"(?:^|\s)#([^\s#]+)", 1), F.lit(""))
+
+
+def find_skill(skills: DataFrame, names: DataFrame, order: str = "seq") -> DataFrame:
+    """names (name) with the first skill (name, ...) of each, by name without regard to case; nulls where there is none."""
+    first = skills.withColumn("__key", F.lower("name"))
+    first = first.groupBy("__key").agg(F.min_by(F.struct(*skills.columns), order).alias("skill"))
+    return names.withColumn("__key", F.lower("name")).join(first, "__key", "left").drop("__key")
+
+
+def window_preview(windows: DataFrame, col: str = "text", size: str = "n_sentences") -> DataFrame:
+    """Add char_count and sentence_count to windows of tagged sentences; ``size``: a column with the number, where there is one."""
+    count = F.col(size).cast("long") if size in windows.columns else F.regexp_count(col, F.lit(r"(?m)^\[\[[^\]]+\]\]")).cast("long")
+    return windows.withColumns({"char_count": F.length(col).cast("long"), "sentence_count": count})
+
+
 def repeated_lines(windows: DataFrame, col: str, longest: int = 80) -> DataFrame:
     """Add ``repeats``: short lines of a window that an earlier window of its document has too. Needs doc_id, window_idx."""
     lines = F.filter(F.transform(F.split(col, "\n"), lambda s: F.lower(F.trim(s))), lambda s: (s != "") & (F.length(s) <= longest))

@@ -17,6 +17,8 @@ from ..functions import vectors as V
 from ..sources import files
 from . import assist, chunking, graph, records
 
+#: Batches of a job after which its tables are written as one.
+GATHERED = 16
 #: Relations that a model may type, and themes that it may describe.
 TYPED, THEMES = 50, 12
 
@@ -145,18 +147,21 @@ def run_job(handler: Handler, key: str, depth: int, cap: int, batch: int, write:
     led to. ``write`` (rows, name, number) keeps a table and returns it as read again, so that a job that is
     stopped goes on from its tables. Past ``seconds`` no further batch begins, and the rest is reported as pending.
     """
-    began, number = time.monotonic(), 0
+    began, number, n_found = time.monotonic(), 0, 0
     frontier = seen = write(handler.seed().dropDuplicates([key]).orderBy(key).limit(cap), "frontier", 0)
-    findings = None
-    while not frontier.isEmpty() and (seconds is None or time.monotonic() - began < seconds):
+    pending, findings = frontier.count(), None
+    while pending and (seconds is None or time.monotonic() - began < seconds):
         now, later = assist.take_batch(frontier, batch, ["depth", key])
         number += 1
         found, led = handler.run_items(now)
         found = write(found, "findings", number)
+        n_found += found.count()
         findings = found if findings is None else findings.unionByName(found)
         fresh = records.frontier_add(seen, led, key, [key], depth, cap)
         fresh = write(fresh.select(key, "depth"), "added", number)
         seen, frontier = seen.unionByName(fresh), write(later.unionByName(fresh), "frontier", number)
-        yield {"batch": number, "findings": findings.count(), "pending": frontier.count(), "report": None}
-    report = handler.reduce(findings) if findings is not None else None
-    yield {"batch": number, "findings": 0 if findings is None else findings.count(), "pending": frontier.count(), "report": report}
+        if number % GATHERED == 0:  # plans over tables of many batches stay short
+            findings, seen = write(findings, "all_findings", number), write(seen, "all_seen", number)
+        pending = frontier.count()
+        yield {"batch": number, "findings": n_found, "pending": pending, "report": None}
+    yield {"batch": number, "findings": n_found, "pending": pending, "report": handler.reduce(findings) if findings is not None else None}

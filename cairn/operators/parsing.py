@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as TX
 from ..functions import urls as U
+from . import records
 
 _SLACK = {"mode": "PERMISSIVE"}
 MEETING = r"(?i)(https://(?:[^\s<>()\"']+\.)?teams\.(?:microsoft|live)\.com/[^\s<>()\"']+)"
@@ -175,12 +176,8 @@ def playbooks(df: DataFrame, col: str, base: Column, keep: list[str]) -> DataFra
 
 
 def resolve_url(file: Column, base: Column) -> Column:
-    """A file's address beside ``base``; null without either. Dot segments are left as they are."""
-    root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+[^?#]*/)", 1)
-    folder = F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder)
-    made = F.when(U.is_http(file), file).when(file.startswith("/"), F.concat(root, file)).otherwise(F.concat(folder, F.regexp_replace(file, r"^\./", "")))
-    return F.when((file != "") & (U.is_http(file) | (root != "")), made)
+    """A file's address beside ``base``; null without either."""
+    return U.resolved(file, base)
 
 
 def raw_file_url(x: Column) -> Column:
@@ -278,11 +275,15 @@ def memory_id(url: Column, scheme: str) -> Column:
     return F.when(url.startswith(scheme), F.substring(url, F.lit(len(scheme) + 1), F.length(url)))
 
 
+# fixed values: what a run's record says
+RUN_BUSY, RUN_LOST = "Agent was busy; deferred for {} minutes.", "Scheduled task failed."
+
+
 def settle_run(enabled: Column, busy: Column, ok: Column, needs_approval: Column, error: Column, now: Column, defer: int = 5) -> Column:
     """(status, error, next): a busy runner defers by ``defer`` minutes, and a task that is off has no row's status."""
     status = F.when(~enabled, None).when(busy, "deferred").when(ok, "ok").when(needs_approval, "needs_approval").otherwise("error")
-    said = F.when(status == "deferred", F.lit(f"Agent was busy; deferred for {defer} minutes.")).when(
-        status.isin("error", "needs_approval"), F.coalesce(error, F.lit("Scheduled task failed."))
+    said = F.when(status == "deferred", F.lit(RUN_BUSY.format(defer))).when(
+        status.isin("error", "needs_approval"), F.coalesce(error, F.lit(RUN_LOST))
     )
     later = F.when(status == "deferred", now.cast("timestamp") + F.expr(f"interval {defer} minutes"))
     return F.struct(status.alias("status"), said.alias("error"), later.alias("next"))
@@ -335,6 +336,43 @@ def host_events(events: DataFrame, target: Column, order: list[str], partition:
     return fits.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= keep).drop("__n")
 
 
+# fixed values: parts of a playbook that was recorded
+NO_STEPS = "1. No interactions were captured."
+RECORDED_NOTES = "## Notes\n- This playbook was generated from recorded user interactions.\n- Edit it in Settings → Skills to refine wording or add missing context."
+
+
+def learned_playbook(events: DataFrame, recordings: DataFrame) -> DataFrame:
+    """recording, name, description, body: the lines of each recording's events in order, without immediate repeats.
+
+    events: recording, seq, line (``action_line``), signature (what makes two events the same), page_url, page_title,
+    page_host; recordings: recording, host, title. A line names its page where that is another than the line's before.
+    """
+    w = W.partitionBy("recording").orderBy("seq")
+    e = records.drop_repeats(events, ["recording"], ["seq"], F.col("signature"))
+    label = F.coalesce(F.nullif("page_title", F.lit("")), F.nullif("page_host", F.lit("")))
+    moved = ~F.coalesce(F.lag("page_url").over(w), F.lit("")).eqNullSafe(F.col("page_url")) & label.isNotNull()
+    e = e.withColumn("text", F.concat("line", F.when(moved, F.concat(F.lit(" ("), label, F.lit(")"))).otherwise(""))).withColumn("n", F.row_number().over(w))
+    e = e.withColumn("text", F.concat(F.col("n").cast("string"), F.lit(". "), "text"))
+    steps = e.groupBy("recording").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x.text), "\n").alias("steps"))
+    out = recordings.join(steps, "recording", "left")
+    of = F.concat(F.lit("Recorded workflow for "), "host")
+    slug = F.regexp_replace(F.regexp_replace("host", "(?i)[^a-z0-9]+", "-"), "^-+|-+$", "")
+    title = F.coalesce(F.nullif("title", F.lit("")), "host")
+    body = F.concat(F.lit("# "), of, F.lit("\n\nRecorded from "), title, F.lit(".\n\n## Flow\n"), F.coalesce("steps", F.lit(NO_STEPS)), F.lit("\n\n" + RECORDED_NOTES))
+    return out.select("recording", F.concat(F.lit("learn-"), F.lower(slug)).alias("name"), of.alias("description"), body.alias("body"))
+
+
+def capabilities_of_sites(sites: DataFrame, now: Column) -> DataFrame:
+    """Entries of a capability registry for known sites (id, name, description, url, mcp_url, mcp_token, search_url)."""
+    remote, token = F.coalesce(F.col("mcp_url") != "", F.lit(False)), F.coalesce(F.col("mcp_token") != "", F.lit(False))
+    return sites.select(
+        F.concat(F.lit("cap-"), F.sha2(F.col("id").cast("string"), 256).substr(1, 12)).alias("id"), F.when(remote, "mcp").otherwise("bookmark").alias("kind"), "name", "description",
+        F.nullif("url", F.lit("")).alias("url"), F.when(token, "token").otherwise("browser-session").alias("auth_method"), F.when(token, F.col("mcp_token")).alias("auth_token"),
+        F.lit("local").alias("trust"), F.when(remote, F.array(F.lit("mcp"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.lit("manual").alias("source"),
+        now.alias("discovered_at"), now.alias("last_seen_at"), "mcp_url", "search_url",
+    )
+
+
 def action_line(kind: Column, target: Column, key: Column, value: Column) -> Column:
     value = _text(value)
     return (

@@ -480,7 +480,20 @@ def sentence_windows(spark, sf):
     return w.withColumns({c: F.col(c).cast("long") for c in ("chunk_idx", "sentence_idx", "window_idx")})
 
 
-@query()
+def _lines_sql(x: str) -> str:
+    """The lines of a text of markup in SQL: blocks part them, other tags go, references are decoded."""
+    bare = rf"regexp_replace(regexp_replace({x}, '(?i)</?(p|section|article|main|header|li|ul|ol|table|tr|td|th|h[1-6]|br|pre|blockquote)\b[^>]*>', E'\n', 'g'), '<[^>]*>', '', 'g')"
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = f"replace({bare}, '{ref}', '{char}')"
+    return rf"list_filter(list_transform(string_split({bare}, E'\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(rf"""WITH h AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>', '', 'g') AS x FROM pages),
+m AS (SELECT *, {_lines_sql("regexp_extract(x, '(?s)<article[^>]*>(.*)</article>', 1)")} AS inside, {_lines_sql("regexp_extract(x, '(?s)<body[^>]*>(.*)', 1)")} AS whole,
+  {_lines_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t, regexp_extract_all(html, '<a href="(http[^"]*)">[^<]*[^<\s][^<]*</a>', 1) AS links FROM h)
+SELECT page_id, url, coalesce(t[1], '') AS title, array_to_string(CASE WHEN length(array_to_string(inside, ' ')) > 200 THEN inside ELSE whole END, E'\n') AS text,
+  least(100, len(list_distinct(links)))::BIGINT AS n_links, least(50, len(regexp_extract_all(html, '<h[123][^>]*>')))::BIGINT AS n_headings,
+  CASE WHEN len(whole) > 0 THEN 'ok' ELSE 'empty' END AS status FROM m""")
 def page_contents(spark, sf):
     p = readers.pages(table(spark, sf, "pages"))
     return p.select("page_id", "url", "title", "text", F.size("links").cast("long").alias("n_links"), F.size("headings").cast("long").alias("n_headings"), "status")

@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the engine names it, with its scheme."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def listed(spark: SparkSession, path: str) -> list[str]:
     """Full paths of a folder's entries in order of their names; none of a folder that is not there."""
     fs, p = _fs(spark, path)

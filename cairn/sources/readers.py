@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import urls as U
+from . import files
 
 PAGE = "page_id long, url string, title string, text string, metadata map<string,string>, links array<struct<href:string,text:string>>, headings array<struct<level:int,text:string>>, status string"
 _NOISE = frozenset("script style noscript template nav footer aside form svg iframe".split())
@@ -26,14 +27,23 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file; corrupt ones give null fields."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
+def json_file(spark: SparkSession, path: str, schema: str, fallback: str | None = None) -> DataFrame:
+    """One JSON document per file. Corrupt, empty and missing ones give null fields, or those of ``fallback``, a JSON text."""
+    other = F.from_json(F.lit(fallback), schema) if fallback is not None else F.lit(None).cast(f"struct<{schema}>")
+    if not files.exists(spark, path.split("*")[0].rstrip("/") or "/"):
+        return spark.range(1).select(other.alias("o")).select("o.*")
+    text = spark.read.text(path, wholetext=True)
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    good = F.try_parse_json("value").isNotNull() & (F.substring(F.ltrim("value"), 1, 1) == "{")
+    return text.select(F.when(good, read).otherwise(other).alias("o")).select("o.*")
 
 
 def directory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, mtime, size, content of all files below a folder whose kind is known."""
+    """path below the folder, mtime, size, content of all files below it whose kind is known."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    root = files.qualified(spark, path).rstrip("/") + "/"
+    plain = lambda x: F.regexp_replace(x, "^file:/+", "file:/")
+    f = f.withColumn("path", F.when(F.startswith(plain(F.col("path")), plain(F.lit(root))), F.substring(plain(F.col("path")), F.length(plain(F.lit(root))) + 1, F.length("path"))).otherwise(F.col("path")))
     return f.withColumn("kind", TX.file_kind("path")).where("kind <> 'other'").withColumnRenamed("modificationTime", "mtime").withColumnRenamed("length", "size")
 
 

@@ -9,8 +9,8 @@ from ..operators.records import export_table
 
 
 def write_csv(df: DataFrame, path: str, limit: int = 5000) -> None:
-    """RFC 4180 quoting with a header."""
-    export_table(df, limit).write.csv(path, header=True, quote='"', escape='"', lineSep="\n")
+    """RFC 4180: quotes doubled, a header, lines that end in CRLF; a folder of part files, one for a table within ``limit``."""
+    export_table(df, limit).coalesce(1).write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -22,15 +22,25 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def backup(df: DataFrame, path: str, tag: str = "cairn-backup-1") -> None:
-    """Rows as tagged JSON; binary columns as base64."""
-    cols = [F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes]
+    """Rows as tagged JSON; binary columns, and arrays of tiny integers packed as bytes, as base64."""
+    packed = lambda c: F.unhex(F.array_join(F.transform(c, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), ""))
+    cols = [F.base64(c).alias(c) if t == "binary" else F.base64(packed(F.col(c))).alias(c) if t == "array<tinyint>" else F.col(c) for c, t in df.dtypes]
     df.select(F.lit(tag).alias("format"), *cols).write.mode("overwrite").json(path)
 
 
 def restore(spark, path: str, schema, tag: str = "cairn-backup-1") -> DataFrame:
-    """Rows of a backup with the right tag."""
+    """Rows of a backup with the right tag; base64 texts where the schema has binaries, or arrays of tiny integers, as packed vectors are."""
     from pyspark.sql import types as T
 
+    packed = [f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.ByteType)]
+    if packed:
+        plain = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name in packed else f for f in schema.fields])
+        rows = restore(spark, path, plain, tag)
+        # byte by byte in hexadecimal, and above 127 the negative numbers
+        byte = lambda c, i: F.conv(F.substring(F.hex(c), 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        signed = lambda x: F.when(x > 127, x - 256).otherwise(x).cast("tinyint")
+        whole = lambda c: F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(0), F.length(c) - 1), lambda i: signed(byte(c, i)))).otherwise(F.array().cast("array<tinyint>"))
+        return rows.withColumns({c: F.when(F.col(c).isNotNull(), whole(F.col(c))) for c in packed})
     text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BinaryType) else f.dataType) for f in schema.fields])
     rows = spark.read.schema(T.StructType([T.StructField("format", T.StringType()), *text.fields])).json(path).where(F.col("format") == tag)
     return rows.select([F.unbase64(f.name).alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name) for f in schema.fields])

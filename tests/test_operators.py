@@ -347,8 +347,8 @@ def test_keyword_index(spark, tmp_path):
     from cairn.operators.keyword_index import KeywordIndex
 
     docs = spark.createDataFrame([(1, "the AB-1234 part"), (2, "the other part. part"), (3, None), (4, "!!"), (5, "AB-1234 the end")], "id long, text string")
-    whole = KeywordIndex(spark, str(tmp_path / "a"), 3).build(docs, "id", "text")
-    grown = KeywordIndex(spark, str(tmp_path / "b"), 3).build(docs.where("id < 3"), "id", "text").extend(docs.where("id >= 3"), "id", "text")
+    whole = KeywordIndex(spark, str(tmp_path / "a")).build(docs, "id", "text")
+    grown = KeywordIndex(spark, str(tmp_path / "b")).build(docs.where("id < 3"), "id", "text").extend(docs.where("id >= 3"), "id", "text")
     plain = retrieval.bm25(docs, "ab-1234 part zzz", "id", "text")
     want = {r.item: round(r.score, 9) for r in plain.collect()}
     assert set(want) == {1, 2, 5}
