@@ -9,8 +9,12 @@ from ..operators.records import export_table
 
 
 def write_csv(df: DataFrame, path: str, limit: int = 5000) -> None:
-    """RFC 4180: quotes doubled, a header, lines that end in CRLF; a folder of part files, one for a table within ``limit``."""
-    export_table(df, limit).coalesce(1).write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="")
+    """RFC 4180: quotes doubled, a header, lines that end in CRLF, cells as they are; a folder of one part file, for a table within ``limit``."""
+    rows = export_table(df, limit)
+    cell = lambda x: F.when(F.rlike(x, F.lit('["\\r\\n,]')), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+    lines = rows.select(F.concat_ws(",", *[cell(F.col(f"`{c}`").cast("string")) for c in rows.columns]).alias("value"))
+    head = df.sparkSession.range(1).coalesce(1).select(F.concat_ws(",", *[cell(F.lit(c)) for c in rows.columns]).alias("value"))
+    head.unionAll(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
