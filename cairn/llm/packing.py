@@ -173,7 +173,8 @@ def pack_documents(
     """Place every piece in a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is an empty one, and has its end id alone. Repeated ids and rows each have their pieces.
-    An empty table gives no rows. Sequences of whole pieces have negative numbers.
+    Very long texts are encoded whole, and cut into whole pieces and a rest. Extra columns are not read. An empty
+    table gives no rows. Sequences of whole pieces have negative numbers.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "pack")

@@ -162,7 +162,8 @@ def classes(docs: DataFrame, scratch: Scratch, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links.
 
     One row for each row of ``docs``; rows with a null id have a class, but never name one unless all
-    of it are null. Repeated rows are equal fingerprints. Empty texts all have fingerprint zero.
+    of it are null. Repeated rows are equal fingerprints. Null and empty texts all have fingerprint zero. Very
+    long texts are read whole. Extra columns are not read. An empty table gives no rows.
     """
     base = scratch.table(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch.table(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")

@@ -133,7 +133,8 @@ def write_token_files(
     """Write all documents in ascending id order (null ids first) and return a row for each file.
 
     root: a folder that all executors reach, by any address pyarrow's file systems open.
-    Equal ids keep all their rows, in the order of their texts' hashes. A null text is an empty one.
+    Equal ids keep all their rows, in the order of their texts' hashes. A null text is an empty one. Very long
+    texts are encoded whole, piece by piece. Extra columns are not read. An empty table gives no file.
     A retried task writes under new names; only files that the returned rows name are part of the result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

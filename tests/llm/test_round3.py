@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from cairn.llm import decontaminate, embed_dedup, fill_middle, filter_audit, html_text, language, url_rules
 from cairn.llm.folds import fold
@@ -341,3 +342,40 @@ def test_seed_recall():
             texts.append(" ".join(f"z{rnd.random()}"[2:] if k in lost else x for k, x in enumerate(item)))
         h, first = word_hashes(pa.array(texts), decontaminate.ALNUM_SPLIT)
         assert sum(map(bool, index.overlaps(h, first))) >= 0.9 * 300
+
+
+def _plain_fingerprint(text):
+    w = text.lower().encode().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = np.array([xxh64_intdigest(x, 42) for x in shingles], np.uint64)
+    return sum(1 << k for k in range(64) if len(h) and 2 * int((h >> np.uint64(k) & np.uint64(1)).sum()) > len(h))
+
+
+def test_very_long_texts(spark):
+    """Texts of 400,000 words, and of one word of two million letters, are taken whole by the operators that read tokens."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from cairn.llm import lm_score, near_copies, packing, simhash, token_files
+
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    long = " ".join(rnd.choice(vocab) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, "short"), (5, None)], "doc_id long, text string")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.classes(docs, Scratch(spark, "t")).collect()}
+    assert prints == {i: _plain_fingerprint(t) for i, t in texts.items()}
+    copies = {r.doc_id: r.component_id for r in near_copies.classes(docs, Scratch(spark, "t")).collect()}
+    assert copies == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    scored = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") == 2, Scratch(spark, "t")).collect()}
+    assert [scored[i].n_tokens for i in (1, 2, 3, 4, 5)] == [400_001, 400_002, 2, 2, 1] and scored[1].train_tokens == 400_001 + 2 + 2 + 1
+    assert scored[2].n_known == 400_001 and scored[2].score > scored[2].base_score
+    want = {name: Tokenizer.from_file(public_tokenizers.path(name)).encode(long, add_special_tokens=False).ids for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    words = docs.where("doc_id in (1, 4, 5)")
+    root = Scratch(spark, "t").path("files")
+    files = Scratch(spark, "t").table(token_files.write_token_files(words, root), "m")
+    got = {r.doc_id: r for r in token_files.read_token_files(files, root).collect()}
+    assert got[1].ids_crc32 == zlib.crc32(np.array([*want["byte_bpe_50k.json"], 2], "<u4").tobytes()) and got[5].n_tokens == 1
+    pieces = sorted((r.start, r.ids_crc32) for r in packing.pack_documents(words).where("doc_id = 1").collect())
+    ids = np.array([*want["word_bpe_49k.json"], 0], "<u4")
+    assert pieces == [(k, zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
