@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import assist, chunking, graph, memory, parsing, records, retrieval
 from ..operators.keyword_index import KeywordIndex, read_or_build
-from ..session import checkpoint_root, spread, table
+from ..session import Tables, checkpoint_root, spread, table
 from ..sources import readers
 from ..streaming import streams
 
@@ -117,6 +117,7 @@ SELECT rank, item, round(r.score, 6) AS score, left(text, 80) AS head FROM r LEF
 
 def _with_heads(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """The hits, ten at most, with the beginning of their texts: they are sent to the documents, never the other way round."""
+    hits = Tables(hits.sparkSession, "hits").keep(hits)  # searched for once
     ids = hits.select(F.col("item").alias("doc_id"))
     heads = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.substring("text", 1, 80).alias("head"))
     return hits.join(F.broadcast(heads), "item", "left").select("rank", "item", F.round("score", 6).alias("score"), "head")
