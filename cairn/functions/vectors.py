@@ -17,9 +17,9 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v.cast("array<double>"), lambda x: F.when(n > 0, x / n).otherwise(x))
+    """Unit length; a zero vector stays. The norm is bound once for a vector, as the one element of an array: inside the inner function it would be made for each component."""
+    scaled = lambda n: F.transform(v.cast("array<double>"), lambda x: F.when(n > 0, x / n).otherwise(x))
+    return F.element_at(F.transform(F.array(norm(v)), scaled), 1)
 
 
 def quantize(v: Column, scale: Column) -> Column:

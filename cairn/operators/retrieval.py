@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
+from ..session import spread
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -53,7 +54,7 @@ def bm25(chunks: DataFrame, query: str | Column, id_col: str, text_col: str) ->
 def dense(vectors: DataFrame, query: Column, id_col: str, vec_col: str) -> DataFrame:
     """item, score: cosine with the query vector."""
     q = V.normalize(query)
-    return vectors.select(F.col(id_col).alias("item"), V.dot(V.normalize(F.col(vec_col)), q).alias("score"))
+    return spread(vectors.select(id_col, vec_col)).select(F.col(id_col).alias("item"), V.dot(V.normalize(F.col(vec_col)), q).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
