@@ -1,6 +1,6 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
-Every round is two grouped minima and two joins over the links; nothing is collected.
+Every round is two grouped minima and two joins over the links; nothing is collected or broadcast.
 Before the first round each task contracts the links it holds to a spanning forest.
 """
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, shuffled
 
 
 def _forest(batches):
@@ -61,18 +61,18 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(shuffled(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u")
+        small = down.join(shuffled(low2), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low2.select("u", F.col("m").alias("v"))
         )
         nxt = scratch.table(small.where("u <> v").distinct(), f"{label}-round")
         # a star forest: no node is both a leaf and a centre, and every leaf has one centre
         shape = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-        chain = nxt.select("u").join(nxt.select(F.col("v").alias("u")), "u", "left_semi").limit(1)
+        chain = nxt.select("u").join(shuffled(nxt.select(F.col("v").alias("u"))), "u", "left_semi").limit(1)
         done = not shape.unionByName(chain.select("u", F.lit(1).cast("long").alias("n"))).take(1)
         scratch.drop(edges)
         edges = nxt

@@ -33,6 +33,14 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join that is not to be sent through the driver, however small its estimate.
+
+    Tables that grow with the input, and above all rows that a Python step makes several of, are estimated far too small.
+    """
+    return df.hint("merge")
+
+
 _scopes: list[list[Scratch]] = []
 
 

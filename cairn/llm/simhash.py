@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .golay import near_indices
-from .scratch import Scratch
+from .scratch import Scratch, shuffled
 from .wordvec import split_batches
 
 DISTANCE = 3
@@ -121,7 +121,7 @@ def _pairs(home: DataFrame, probe: DataFrame, on: list[str]) -> DataFrame:
     cond = near
     for c in on:
         cond = (F.col(f"h.{c}") == F.col(f"p.{c}")) & cond
-    return hj.join(pj, cond).select("ca", "cb")
+    return hj.join(shuffled(pj), cond).select("ca", "cb")
 
 
 def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +129,7 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     fps = fps.select("fp", F.col("fp").alias("comp"))
     home = scratch.table(fps.mapInArrow(_keys(True), "key long, fp long, comp long"), "home")
     dense = scratch.table(home.groupBy("key").count().where(F.col("count") > DENSE).select("key"), "dense")
-    crowd = home.join(dense, "key", "left_semi").select("fp").distinct()
+    crowd = home.join(shuffled(dense), "key", "left_semi").select("fp").distinct()
     balls = crowd.select(
         "fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])).alias("v")
     )
@@ -137,18 +137,21 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     first = balls.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
     first = scratch.table(components(first, scratch, "balls"), "first")
 
-    labelled = fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
+    labelled = fps.select("fp").join(shuffled(first.withColumnRenamed("node", "fp")), "fp", "left")
     labelled = scratch.table(labelled.select("fp", F.coalesce("root", "fp").alias("comp")), "labelled")
     homes = labelled.mapInArrow(_keys(True), "key long, fp long, comp long")
     probes = labelled.mapInArrow(_keys(False), "key long, fp long, comp long")
-    links = _pairs(homes.join(dense, "key", "left_anti"), probes.join(dense, "key", "left_anti"), ["key"])
+    # one shuffle of each by key serves both kinds of keys
+    homes, probes = (x.join(shuffled(dense.withColumn("dense", F.lit(True))), "key", "left") for x in (homes, probes))
+    thin_h, thin_p = (x.where("dense is null").drop("dense") for x in (homes, probes))
+    links = _pairs(thin_h, thin_p, ["key"])
 
-    thick_h, thick_p = (x.join(dense, "key", "left_semi") for x in (homes, probes))
+    thick_h, thick_p = (x.where("dense").drop("dense") for x in (homes, probes))
     main = thick_h.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     main = scratch.table(main, "main")
     is_main = F.col("comp") == F.col("main")
-    h = thick_h.join(main, "key").withColumn("side", is_main.cast("int"))
-    p = thick_p.join(main, "key").withColumn("side", F.explode(F.when(is_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    h = thick_h.join(shuffled(main), "key").withColumn("side", is_main.cast("int"))
+    p = thick_p.join(shuffled(main), "key").withColumn("side", F.explode(F.when(is_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     links = links.unionByName(_pairs(h, p, ["key", "side"]))
     links = links.unionByName(first.select(F.col("node").alias("ca"), F.col("root").alias("cb")))
     return components(links, scratch, "links")
@@ -168,11 +171,11 @@ def classes(docs: DataFrame, scratch: Scratch, shingle: int = 3) -> DataFrame:
     base = scratch.table(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch.table(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = scratch.table(link(distinct.select("fp"), scratch), "roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = scratch.table(named, "named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return base.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = named.select("fp", "root").join(shuffled(least), "root").select("fp", "component_id")
+    return base.join(shuffled(ids), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
