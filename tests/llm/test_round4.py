@@ -1,8 +1,12 @@
-"""Joins of the link steps stay off the driver, whatever Spark estimates of their sides."""
+"""Joins of the link steps stay off the driver, and Golay links decide on near copies."""
 
 from __future__ import annotations
 
-from cairn.llm import simhash
+import random
+
+import pyarrow as pa
+
+from cairn.llm import near_copies, simhash
 from cairn.llm.components import components
 from cairn.llm.scratch import Scratch
 
@@ -26,3 +30,53 @@ def test_rounds_of_components_are_not_broadcast(spark, monkeypatch):
     got = {tuple(r) for r in components(links, Scratch(spark, "t")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def _families(n: int, words: int, edits: int) -> list[tuple[int, str]]:
+    rnd = random.Random(3)
+    out = []
+    for f in range(n):
+        said = [f"w{rnd.randrange(5000)}" for _ in range(words)]
+        for _ in range(4):
+            out.append((len(out), " ".join(said)))
+            for _ in range(edits):
+                said[rnd.randrange(words)] = f"x{rnd.randrange(10**6)}"
+    return out
+
+
+def _brute(rows: list[tuple[int, str]]) -> dict[int, int]:
+    sets = [set(x.tobytes() for x in near_copies.shingle_sets(pa.array([t]))[0]) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return dict(enumerate(root))
+
+
+def _classes(spark, rows):
+    return {r.doc_id: r.component_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+
+
+def test_golay_links_decide_on_pairs_within_three_bits(spark, monkeypatch):
+    rows = _families(12, 400, 1)
+    want = _brute(rows)
+    assert _classes(spark, rows) == want
+    monkeypatch.setattr(near_copies, "link", lambda fps, scratch: fps.selectExpr("fp as node", "fp as root").limit(0))
+    assert _classes(spark, rows) != want
+
+
+def test_classes_of_fingerprints_are_met_within(spark, monkeypatch):
+    rows = _families(6, 100, 3)  # the ends of a chain are not similar, so its centre does not link all of it
+    want = _brute(rows)
+    assert len(set(want.values())) < len(rows)
+    monkeypatch.setattr(near_copies, "link", lambda fps, scratch: fps.selectExpr("fp as node", "0L as root"))
+    monkeypatch.setattr(near_copies, "DISTANCE", 64)
+    assert _classes(spark, rows) == want
+
+
+def test_keys_of_near_copies_are_not_broadcast(spark):
+    nodes = spark.range(50).selectExpr("id as node", "5 as size", "array(id, id + 1) as keys", "id as comp")
+    met = near_copies._shared_keys(nodes).join(nodes.select("node", "comp").hint("merge"), "node")
+    assert "Broadcast" not in _plan(near_copies._pairs(met, met, ["key"], 0.8))
