@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -118,14 +119,18 @@ class _Page(HTMLParser):
             self.out.append(data)
 
 
-def _extract(batches, most_links=100, most_heads=50):
+#: The sign before a character reference that no semicolon ends.
+_UNCLOSED = re.compile(r"&(?=(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(?![A-Za-z0-9;]))")
+
+
+def _extract(batches, unclosed=True, most_links=100, most_heads=50):
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             p = _Page()
             status = "ok"
             try:
-                p.feed(r.html or "")
+                p.feed(r.html or "" if unclosed else _UNCLOSED.sub("&amp;", r.html or ""))
                 p.close()
             except Exception:  # a page that cannot be parsed keeps what was read
                 status = "partial"
@@ -137,9 +142,12 @@ def _extract(batches, most_links=100, most_heads=50):
         yield pd.DataFrame(rows, columns=["page_id", "url", "title", "text", "metadata", "links", "headings", "status"])
 
 
-def pages(df: DataFrame) -> DataFrame:
-    """Title, readable text of the main content, metadata, links and headings of pages (page_id, url, html)."""
-    return df.select("page_id", "url", "html").mapInPandas(_extract, PAGE)
+def pages(df: DataFrame, unclosed: bool = True) -> DataFrame:
+    """Title, readable text of the main content, metadata, links and headings of pages (page_id, url, html).
+
+    ``unclosed``: decode references without a semicolon, as browsers do; else they stay as they are written.
+    """
+    return df.select("page_id", "url", "html").mapInPandas(lambda batches: _extract(batches, unclosed), PAGE)
 
 
 def page_list(urls: DataFrame, col: str, order: str, cap: int = 16) -> DataFrame:
