@@ -253,7 +253,7 @@ SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6)
 def bucketed_neighbours(spark, sf):
     """Pairs of cosine 0.3 in one bucket of seven planes or in buckets one bit apart."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.similar_pairs(v, graph.lsh_candidates(v, 7, 64), 0.3).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return graph.bucketed_pairs(v, 7, 64, 0.3).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("""WITH c AS (SELECT user_id AS id, list(DISTINCT event_id % 40 ORDER BY event_id % 40)[1:5] AS relevant FROM events GROUP BY user_id), r AS (SELECT user_id AS id, list(event_id % 60 ORDER BY event_id)[1:12] AS ranking FROM events WHERE user_id % 4 > 0 GROUP BY user_id),
