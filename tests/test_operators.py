@@ -343,6 +343,17 @@ def test_recall(spark):
     assert found(1) == {"b": 1, "d": None} and found(15) == {}
 
 
+def test_chunks_leave_a_task_in_small_batches(spark):
+    """Whatever the batch of texts, few are cut at once."""
+    import pyarrow as pa
+
+    texts = [None, "", "x" * 2000, *["a b. " * 300] * 200]
+    out = list(chunking._cut([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])]))
+    assert len(out) == 4 and max(len(set(b.column(0).to_pylist())) for b in out) <= chunking.CUT_AT_ONCE
+    want = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(chunking.cut_chunks(t))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
 def test_keyword_index(spark, tmp_path):
     from cairn.operators.keyword_index import KeywordIndex
 
