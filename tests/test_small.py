@@ -179,6 +179,25 @@ def test_index_buckets_and_merging(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, grown.statistics().where("term = 'delta'").collect())) == [("delta", 4, 4)]
 
 
+def test_index_shares(spark, tmp_path, monkeypatch):
+    """A term that every text holds is written by several tasks; what is stored is counted without a shuffle of items by buckets; equal texts tie."""
+    from cairn.operators import keyword_index
+    from cairn.operators.keyword_index import KeywordIndex
+
+    assert [keyword_index.shares_for(*x) for x in ((0, 0, 16), (1 << 30, 500_000, 64), (6 << 30, 3_000_000, 256))] == [1, 2, 12]
+    docs = spark.createDataFrame([(i, f"every w{i % 3} w{i % 7} x{i % 2}") for i in range(84)] + [(84, None)], "id long, text string")
+    whole = KeywordIndex(spark, str(tmp_path / "whole")).build(docs, "id", "text")
+    monkeypatch.setattr(keyword_index, "SHARE_ITEMS", 10)
+    dealt = KeywordIndex(spark, str(tmp_path / "dealt")).build(docs, "id", "text")
+    files = lambda x: {r.name for r in x.postings(["every"]).select(F.input_file_name().alias("name")).distinct().collect()}
+    assert len(files(whole)) == 1 and len(files(dealt)) > 3
+    assert [(s["n"], s["tokens"]) for s in dealt.segments()] == [(85, 336)]
+    got = {r.item: r.score for r in dealt.search("every w1 w2 x0 x1").collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {r.item: round(r.score, 9) for r in whole.search("every w1 w2 x0 x1").collect()}
+    assert all(got[i] == got[i + 42] for i in range(42))
+    assert len(dealt.merge().segments()) == 1 and len(files(dealt)) > 3
+
+
 def test_truncated(spark):
     texts = {'{"a": [1, 2]}': False, '{"a": [1, 2': True, '{"a": "b': True, '{"a": "}"}': False, '{"a": "\\"}': True, '{"a": "\\\\"}': False, "": False, "plain": False, '"' + "x" * 200_000 + '"': False, '["' + "\\n" * 100_000: True}
     assert dict(zip(texts, said(spark, list(texts), assist.looks_truncated))) == texts
