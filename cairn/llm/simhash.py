@@ -154,7 +154,9 @@ def link(fps: DataFrame, scratch: Scratch) -> DataFrame:
     p = thick_p.join(shuffled(main), "key").withColumn("side", F.explode(F.when(is_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     links = links.unionByName(_pairs(h, p, ["key", "side"]))
     links = links.unionByName(first.select(F.col("node").alias("ca"), F.col("root").alias("cb")))
-    return components(links, scratch, "links")
+    out = components(links, scratch, "links")
+    scratch.drop(home, dense, first, labelled, main)
+    return out
 
 
 def _signed(x: int) -> int:

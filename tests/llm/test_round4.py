@@ -80,3 +80,17 @@ def test_keys_of_near_copies_are_not_broadcast(spark):
     nodes = spark.range(50).selectExpr("id as node", "5 as size", "array(id, id + 1) as keys", "id as comp")
     met = near_copies._shared_keys(nodes).join(nodes.select("node", "comp").hint("merge"), "node")
     assert "Broadcast" not in _plan(near_copies._pairs(met, met, ["key"], 0.8))
+
+
+def test_tables_go_when_they_are_read(spark, monkeypatch):
+    """Keys, shingles and texts of pairs are not on disk any more when the rows that stay are written."""
+    left = []
+    table, drop = Scratch.table, Scratch.drop
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: left.append((out := table(self, df, name)).cairn_path) or out)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *ts: [left.remove(t.cairn_path) for t in ts] and drop(self, *ts))
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:39], "other"]), "something else altogether", " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.representatives(docs, Scratch(spark, "t")).collect()) == [0, 2]
+    names = {p.rsplit("-", 1)[-1] for p in left}
+    assert "sets" in names and not names & {"nodes", "met", "groups", "texts", "pairs", "uses", "home", "labelled", "dense"}
