@@ -212,7 +212,11 @@ def community_rank(communities: DataFrame, query: str, n: int = 5, nodes: DataFr
 
 def shared_documents(topics: DataFrame) -> DataFrame:
     """Pairs a < b of topics with a document in common, and how many. topics: id, doc_ids."""
-    e = topics.select("id", F.explode(F.array_distinct("doc_ids")).alias("doc"))
+    return sharing(topics.select("id", F.explode(F.array_distinct("doc_ids")).alias("doc")))
+
+
+def sharing(e: DataFrame) -> DataFrame:
+    """The same of distinct rows id, doc: no topic's documents are gathered."""
     a, b = e.alias("a"), e.alias("b")
     j = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.id") < F.col("b.id")))
     return j.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("n_docs"))

@@ -94,3 +94,22 @@ def test_small(spark):
         assist.within_limits(F.lit("2024-01-01 09:00:00").cast("timestamp"), now, F.lit(60), F.lit(9), F.lit(5)).alias("g"),
     ).first()
     assert (r.a.enabled, r.b.enabled, r.b.next, r.c, r.d, r.e, r.f, r.g) == (True, False, None, 7, "shell", "grey", "person", "time")
+
+
+def test_topics_share_documents_without_gathering(spark, tmp_path):
+    from cairn.plans import queries
+
+    rows = [(1, 7, 1), (1, 8, 1), (1, 7, 2), (2, 7, 1), (2, 8, 2), (3, 9, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = queries.topics_sharing_documents(spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [(7, 8, 2)]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_dealt_by_their_number(spark, monkeypatch):
+    from cairn import session
+
+    monkeypatch.setattr(session, "DEALT", 50)
+    rows = session.dealt(spark.range(5000), "id")
+    assert rows.count() == 5000 and rows.rdd.getNumPartitions() == max(100, spark.sparkContext.defaultParallelism)
+    assert session.dealt(spark.range(0), "id").count() == 0
