@@ -9,7 +9,7 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import assist, chunking, graph, memory, parsing, records, retrieval, search_calls
-from ..session import table
+from ..session import dealt, table
 from ..sources import search
 from .queries import _FNV, QUERY, _bm25_sql, _index, _POST, query
 
@@ -312,7 +312,7 @@ r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY w ORDER BY pos) AS run FROM v
 def _bio(spark, sf):
     from pyspark.sql import Window as W
 
-    l = table(spark, sf, "lineitem")
+    l = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount"), "l_orderkey")
     t = l.withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
     kind = F.when(t.l_returnflag == "A", "PER").when(t.l_returnflag == "N", "LOC")
     tag = F.when(kind.isNull(), "O").otherwise(F.concat(F.when(t.l_partkey % 3 == 0, "B-").otherwise("I-"), kind))
