@@ -231,7 +231,7 @@ def topic_graph(
     """
     edges = graph.knn(pairs, k).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     com = graph.communities_by_label(graph.label_propagation(edges), least, most)
-    members = com.select("community", F.explode("node_ids").alias("id")).join(chunks, "id")
+    members = com.select("community", F.explode("node_ids").alias("id")).hint("shuffle_merge").join(chunks, "id")  # by shuffle: a community may hold any number
     words = graph.cluster_keywords(members.select(F.col("community").alias("cluster"), "text"), stopwords).withColumnRenamed("cluster", "community")
     docs = members.groupBy("community").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
     topics = com.join(docs, "community").join(words, "community", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
