@@ -113,3 +113,18 @@ def test_rows_dealt_by_their_number(spark, monkeypatch):
     rows = session.dealt(spark.range(5000), "id")
     assert rows.count() == 5000 and rows.rdd.getNumPartitions() == max(100, spark.sparkContext.defaultParallelism)
     assert session.dealt(spark.range(0), "id").count() == 0
+
+
+def test_topics_see_a_pair_once(spark, monkeypatch):
+    """Two neighbours whose cosines differ in the last bit are one pair."""
+    from cairn.plans import queries
+
+    given = []
+    rows = spark.createDataFrame([(1, [1.0], "s", "t")], "vec_id long, embedding array<double>, source string, text string").withColumn("doc_id", F.col("vec_id"))
+    none = spark.createDataFrame([], "id string, size long, keywords array<string>")
+    near = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5 + 2**-53), (1, 3, 0.25)], "id long, neighbour long, cosine double")
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    monkeypatch.setattr(queries.graph, "knn_bucketed", lambda *_: near)
+    monkeypatch.setattr(queries.assist, "topic_graph", lambda docs, pairs: given.append(pairs) or (none, none))
+    queries.topic_graph(spark, "")
+    assert sorted((r.a, r.b) for r in given[0].collect()) == [(1, 2), (1, 3)]
