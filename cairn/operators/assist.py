@@ -67,7 +67,8 @@ STOPWORDS = (
     "a an and are as at be but by for from has have he i in is it its may might no not of on or she should so such than that the their then they this "
     "to was we were which who will with would you"
 ).split()
-NAME = r"\b([A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*)+)\b"
+# within a line. Possessive: a line of thousands of such words takes no depth of the stack; no end is asked for, as a name always has one
+NAME = r"[A-Z](?<!\w[A-Z])[\w&.'-]*+(?:[ \t\x0B\f\r]++[A-Z][\w&.'-]*+)++"
 TABLE_SIGN = "[0-9.·…\t]"
 #: a line that is repeated is a running header only if it is as short as this
 HEADER = 80
@@ -86,17 +87,26 @@ def window_information(df: DataFrame, col: str) -> DataFrame:
     seen = W.partitionBy("doc_id", "__line").orderBy("window_idx", "__no")
     again = each.withColumn("__k", F.row_number().over(seen)).where("__k > 1").groupBy("doc_id", "window_idx").agg(F.count("*").alias("__again"))
     rows = rows.join(again, ["doc_id", "window_idx"], "left")
-    lines, n = F.col("__lines"), F.size("__lines")
-    words = F.filter(F.flatten(F.transform(lines, lambda s: F.split(s, r"(?U)\s+"))), lambda w: w != "")
-    chars = F.array_join(lines, "")
-    names = F.aggregate(F.transform(lines, lambda s: F.regexp_count(s, F.lit(TX.ascii_edges(NAME)))), F.lit(0), lambda t, x: t + x)
-    stop = F.size(F.filter(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z']", "").isin(STOPWORDS))) / F.size(words)
+    # each measure is taken once, of the lines as one text
+    whole = rows.withColumns({"__n": F.size("__lines"), "__whole": F.array_join("__lines", "\n")})
+    plain = F.split(F.regexp_replace(F.lower("__whole"), r"(?U)[^a-z'\s]++", ""), r"(?U)\s+")
+    taken = whole.withColumns(
+        {
+            "__words": F.regexp_count("__whole", F.lit(r"(?U)\S++")),
+            "__names": F.regexp_count("__whole", F.lit(NAME)),
+            "__signs": F.regexp_count("__whole", F.lit(TABLE_SIGN)),
+            "__stop": F.size(F.filter(plain, lambda w: w.isin(STOPWORDS))),
+            "__chars": F.length("__whole") - F.col("__n") + 1,
+        }
+    )
+    n, words, stop = F.col("__n"), F.col("__words"), F.col("__stop") / F.col("__words")
     part = lambda x: F.least(x, F.lit(1.0))
     score = (
-        0.35 * part(F.size(words) / n / 8) + 0.2 * part(names / n) + 0.2 * (1 - part(F.regexp_count(chars, F.lit(TABLE_SIGN)) / F.length(chars) * 4))
+        0.35 * part(words / n / 8) + 0.2 * part(F.col("__names") / n) + 0.2 * (1 - part(F.col("__signs") / F.col("__chars") * 4))
         + 0.1 * F.when(stop.between(0.15, 0.6), 1.0).otherwise(0.3) + 0.15 * (1 - part(F.coalesce("__again", F.lit(0)) / n))
     )
-    return rows.withColumn("information", F.when(n > 0, score).otherwise(0.0)).drop("__lines", "__again")
+    made = "__lines", "__again", "__n", "__whole", "__words", "__names", "__signs", "__stop", "__chars"
+    return taken.withColumn("information", F.when(n > 0, score).otherwise(0.0)).drop(*made)
 
 
 def low_information(windows: DataFrame, least: float = 0.25) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import assist
@@ -128,3 +129,13 @@ def test_topics_see_a_pair_once(spark, monkeypatch):
     monkeypatch.setattr(queries.assist, "topic_graph", lambda docs, pairs: given.append(pairs) or (none, none))
     queries.topic_graph(spark, "")
     assert sorted((r.a, r.b) for r in given[0].collect()) == [(1, 2), (1, 3)]
+
+
+def test_window_of_many_names(spark):
+    """A line of 50,000 capitalised words is one name, whatever the depth of the stack; names do not go on over lines."""
+    text = "Ab " * 50_000 + "x\nNew York-\nThe Hague&. and\nxAb Cd\n" + "É Old Town"
+    rows = spark.createDataFrame([(1, 0, text), (1, 1, "\n \n"), (1, 2, "Aa Bb. Cc dd Ee Ff\nAa Bb. Cc dd Ee Ff")], "doc_id long, window_idx int, text string")
+    got = {r.window_idx: r.information for r in assist.window_information(rows, "text").collect()}
+    # five lines, 50,010 words, a name in each but the fourth; no signs of tables but two dots
+    assert got[0] == pytest.approx(0.35 + 0.2 * 4 / 5 + 0.2 * (1 - 4 * 1 / (150_001 + 9 + 15 + 6 + 10)) + 0.03 + 0.15)
+    assert got[1] == 0.0 and got[2] == pytest.approx(0.35 * 6 / 8 + 0.2 + 0.2 * (1 - 4 * 2 / 36) + 0.03 + 0.15 * 0.5)
