@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_table
+from ..operators import bit_table
 from .scratch import Scratch, fresh
 from .wordvec import ALNUM_SPLIT, mix, split_batches, word_hashes
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_table
+from ..operators import bit_table
 from .scratch import Scratch
 from .wordvec import split_batches
 

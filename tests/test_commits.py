@@ -193,3 +193,20 @@ def test_changes_read_few_epochs(spark, tmp_path, monkeypatch):
     for old in range(8):
         files.delete(spark, f"{target}/epoch={old}")  # below the last whole state
     assert {r.k: r.v for r in streams.changed_state(spark, target, "k").collect()} == state
+
+
+def test_repository_shuffles_what_may_be_dead(spark, tmp_path):
+    """Stored rows are not shuffled to find that they are live, and postings lie in tasks by their texts' size, not in a task for each bucket."""
+    repo, embed = Repository(spark, str(tmp_path), "r"), hash_embedding(8)
+    repo.add(_docs(spark, *[(i, "n", "u", f"alpha number{i}. Beta!") for i in range(40)]), embed)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan(repo.chunks()) and repo.chunks().count() == 40
+    # a document that is given twice, once without a text, is rejected: what it had before stays
+    repo.add(_docs(spark, (1, "n", "u", "gamma"), (1, "n", "u", " "), (2, "n", "u", "delta")), embed)
+    repo.delete(spark.createDataFrame([(i,) for i in range(20, 40)], "doc_id long"))
+    want = sorted([(i, f"alpha number{i}. Beta!") for i in range(20) if i != 2] + [(2, "delta")])
+    for _ in range(2):
+        assert sorted((r.doc_id, r.text) for r in repo.chunks().collect()) == want
+        repo.compact()
+    assert "Join" not in plan(repo._live("postings")) and repo.sentences().count() == 39
+    assert sorted(r.item for r in repo.lexical("alpha gamma number30").collect()) == sorted(f"{i}:c0" for i in range(20) if i != 2)
