@@ -94,3 +94,13 @@ def test_tables_go_when_they_are_read(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.representatives(docs, Scratch(spark, "t")).collect()) == [0, 2]
     names = {p.rsplit("-", 1)[-1] for p in left}
     assert "sets" in names and not names & {"nodes", "met", "groups", "texts", "pairs", "uses", "home", "labelled", "dense"}
+
+
+def test_keys_of_one_node_are_not_joined(spark):
+    """Keys that one node holds are kept from the join by a table of bits; those of several all come, with their places."""
+    rows = [(i, 3, [7 if i < 3 else 1000 + i, 2000 + i, 3000 + i // 2]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, size int, keys array<long>")
+    met = near_copies._shared_keys(nodes, Scratch(spark, "keys"))
+    want = [(i, 3, 0, 7, 3) for i in range(3)] + [(i, 3, 2, 3000 + i // 2, 2) for i in range(40)]
+    assert sorted((r.node, r.size, r.place, r.key, r.n) for r in met.collect()) == sorted(want)
+    assert "getbit" in met._jdf.queryExecution().analyzed().toString()
