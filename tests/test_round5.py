@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 from cairn.llm.scratch import Scratch
-from cairn.operators import graph
+from cairn.operators import graph, memory
 from cairn.session import Tables, swept
 from cairn.sources.commits import Commits
 
@@ -61,3 +61,12 @@ def test_nearest_in_rounds_ship_no_copies_of_vectors(spark, monkeypatch):
         assert {(r.id, r.neighbour, r["rank"]) for r in got.collect()} == want
     assert [r["rank"] for r in graph.knn_blocked(df.limit(2)).collect()] == [1, 1]
     assert not graph.knn_blocked(df.limit(0)).collect()
+
+
+def test_pairs_of_equal_sets_come_in_order(spark):
+    """What pairs of a part make is runs and repeated sequences, which Parquet writes small."""
+    n = 100
+    nodes = spark.range(n).selectExpr("id * 7919 % 1009 as id", "'k' as kind", "'same words here' as label", "'' as summary", "'active' as status")
+    got = [(r.a, r.b) for r in memory.similar(nodes).collect()]
+    ids = sorted(i * 7919 % 1009 for i in range(n))
+    assert got == [(a, b) for a in ids for b in ids if a < b]
